@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections import defaultdict
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Words of a text are runs of characters other than ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: bytes.translate table: A-Z become a-z; other bytes, white space included, stay.
@@ -19,12 +22,22 @@ LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 STRIP = " \t\n\x0b\x0c\r"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it; a cluster gets it by --py-files."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset (tests), a temporary one."""
+    importable(spark)
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not there:

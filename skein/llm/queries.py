@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, token_store
+from . import mixing, simhash, token_store
 from .common import scratch, table
 
 
@@ -20,5 +21,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_token_store": op3_token_store, "op4_mixing": op4_mixing}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing}
 ORACLE_SQL = {"op4_mixing": mixing.ORACLE}
