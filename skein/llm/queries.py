@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, token_store
+from . import mixing, packing, simhash, token_store
 from .common import scratch, table
 
 
@@ -26,5 +26,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing, "op8_packing": op8_packing}
 ORACLE_SQL = {"op4_mixing": mixing.ORACLE}
