@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, simhash, token_store
-from .common import scratch, table
+from . import line_dedup, mixing, packing, quality, simhash, token_store, toxicity
+from .common import fold, scratch, table
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _held_out(found: DataFrame, parts: int, part: int, threshold: float) -> DataFrame:
+    """The columns of a scored query: the fold, and the class at the threshold."""
+    return found.select("doc_id", (fold(F.col("doc_id"), parts) == part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, take=fold(F.col("doc_id"), 5) != 0)
+    return _held_out(toxicity.score(docs, model), 5, 0, 0.5)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -35,5 +46,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing, "op6_line_dedup": op6_line_dedup, "op8_packing": op8_packing}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, take=fold(F.col("doc_id"), 4) != 2)
+    return _held_out(quality.score(docs, model), 4, 2, 0.7)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing, "op6_line_dedup": op6_line_dedup, "op8_packing": op8_packing, "op9_quality": op9_quality}
 ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
