@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, simhash, token_store, toxicity
+from . import line_dedup, mixing, packing, pii, quality, rules, simhash, token_store, toxicity
 from .common import fold, scratch, table
 
 
@@ -37,6 +37,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
@@ -52,5 +62,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality.score(docs, model), 4, 2, 0.7)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing, "op6_line_dedup": op6_line_dedup, "op8_packing": op8_packing, "op9_quality": op9_quality}
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"))).drop("anomaly")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_line_dedup": op6_line_dedup, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_rules": op10_rules}
 ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
