@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, pii, quality, rules, simhash, token_store, toxicity
+from . import line_dedup, mixing, neighbours, packing, pii, quality, rules, simhash, token_store, toxicity
 from .common import fold, scratch, table
 
 
@@ -52,6 +52,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -67,5 +72,5 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"))).drop("anomaly")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_line_dedup": op6_line_dedup, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_rules": op10_rules}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op3_token_store": op3_token_store, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_line_dedup": op6_line_dedup, "op7_neighbours": op7_neighbours, "op8_packing": op8_packing, "op9_quality": op9_quality, "op10_rules": op10_rules}
 ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE, "op4_mixing": mixing.ORACLE}
