@@ -15,6 +15,9 @@ size, so equal rows may trade places, with the same result; an empty table gives
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,10 +42,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of every row of docs (doc_id, text, source)."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, row: str | None = None) -> DataFrame:
+    """([row,] doc_id, source, size, source_size, target, taken) of every row of docs (doc_id, text, source); row: a column to keep."""
+    keep = [row] if row else []
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
+    sized = docs.select(*keep, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"), key.alias("key"))
     sized = checkpoint(sized)
     t = checkpoint(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs))
     placed = running_sums(sized, [F.col("source"), F.col("key"), F.col("doc_id"), F.col("size")], "size", "before", "source")
@@ -51,7 +55,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3)
     rest = budget - F.when(F.col("source_size") > 0, F.expr("floor(target) div nullif(source_size, 0)")).otherwise(0) * F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div nullif(source_size, 0)")).otherwise(0)
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(*keep, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, broadcast_up_to: int = 1_000_000) -> DataFrame:
+    """What the mix takes, with the columns of docs: a row for each whole copy of a document, and one with the first words of a text that is
+    taken in part; n_chars, if there is such a column, follows the text. docs must give the same rows each time it is read, as files do.
+
+    The chosen rows are broadcast only if there are no more than broadcast_up_to (32 MB), and joined by shuffle beyond that.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    chosen = checkpoint(mix(numbered, weights, epochs, "__row").where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken")))
+    if chosen.count() <= broadcast_up_to:
+        chosen = F.broadcast(chosen)
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def copies(batches):
+        for b in batches:
+            rows, texts = [], []
+            for i, (text, size, taken) in enumerate(zip(*(b.column(c).to_pylist() for c in (at, len(names), len(names) + 1)))):
+                rows += [i] * (taken // size)
+                texts += [text] * (taken // size)
+                if taken % size:
+                    ends = [m.end() for _, m in zip(range(taken % size), re.finditer(WORD_RE, text))]
+                    rows.append(i)
+                    texts.append(text[: ends[-1]])
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i).take(pa.array(rows, pa.int64())) for i in range(len(names))]
+            if chars is not None:
+                cols[chars] = pa.array([len(t) for t in texts]).cast(cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return numbered.join(chosen, "__row").select(*names, "__size", "__taken").mapInArrow(copies, docs.schema)
 
 
 ORACLE = r"""
