@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import running_sums
 from .tokens import word_cache
 
-WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 2048, 8
+WINDOW, LEAST, MOST, MEAN_BITS = 4, 64, 2048, 8
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, root binary, part int"
 _RAW = "doc_id long, n_tokens long, digests array<binary>, digest binary, n long, payload binary, slot int"
@@ -68,17 +68,24 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _pack(ids: np.ndarray) -> bytes:
+def _packer():
+    """A function that packs ids."""
     import zstandard
 
-    small = len(ids) == 0 or ids.max() < 1 << 16
-    return bytes([2 if small else 4]) + zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress(ids.astype("<u2" if small else "<u4").tobytes())
+    compress = zstandard.ZstdCompressor(level=1).compress
 
+    def pack(ids: np.ndarray) -> bytes:
+        small = len(ids) == 0 or ids.max() < 1 << 16
+        return (b"\2" if small else b"\4") + compress(ids.astype("<u2" if small else "<u4").tobytes())
 
-def _unpack(payload: bytes) -> np.ndarray:
+    return pack
+
+
+def _unpacker():
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[1:]), "<u2" if payload[0] == 2 else "<u4").astype("<u4")
+    decompress = zstandard.ZstdDecompressor().decompress
+    return lambda payload: np.frombuffer(decompress(payload[1:]), "<u2" if payload[0] == 2 else "<u4").astype("<u4")
 
 
 def _digest(ids: bytes) -> bytes:
@@ -96,7 +103,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
     slots = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
 
     def encode(batches):
-        words, sent = word_cache(tokenizer, kind), set()
+        words, sent, pack = word_cache(tokenizer, kind), set(), _packer()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -113,7 +120,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
                             if len(sent) >= 1_000_000:
                                 sent.clear()
                             sent.add(d)
-                            rows.append((None, None, None, d, stop - last, _pack(ids[last:stop]), int.from_bytes(d[:4], "little") % slots))
+                            rows.append((None, None, None, d, stop - last, pack(ids[last:stop]), int.from_bytes(d[:4], "little") % slots))
                         last = stop
                     rows.append((doc_id, len(ids), digests, None, None, None, zlib.crc32(digests[0] + str(doc_id).encode()) % slots))
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.binary(), pa.int32())
@@ -168,9 +175,10 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(digest, n, crc, ids binary) of every chunk, each checked against its digest."""
 
     def check(batches):
+        unpack = _unpacker()
         for b in batches:
             digests, payloads = b.column("digest").to_pylist(), b.column("payload").to_pylist()
-            raws = [_unpack(p).tobytes() for p in payloads]
+            raws = [unpack(p).tobytes() for p in payloads]
             if any(_digest(r) != d for r, d in zip(raws, digests)):
                 raise ValueError(f"{path}: a chunk does not match its digest")
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([zlib.crc32(r) for r in raws], pa.int64()), pa.array(raws, pa.binary())], names=["digest", "n", "crc", "ids"])

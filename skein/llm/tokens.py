@@ -11,6 +11,7 @@ import os
 import re
 import sys
 from array import array
+from string import punctuation
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -24,6 +25,19 @@ _LATIN = re.compile("[\\x00-\xff]*$")
 _HELD: dict[tuple[str, str], WordCache] = {}
 
 
+class _Tails(dict):
+    """Runs of ASCII punctuation behind a word; each is cut off as one piece."""
+
+    def __init__(self, encode):
+        self._encode = encode
+
+    def __missing__(self, tail: str) -> bytes:
+        ids = self._encode(tail)
+        if len(self) < 10_000:
+            self[tail] = ids
+        return ids
+
+
 class WordCache(dict):
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers. kind: "byte" or "word", as the vocabulary."""
 
@@ -34,20 +48,28 @@ class WordCache(dict):
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
         self._merge = self._tokenizer.model.tokenize
-        self._ends = {c: self._whole(c) for c in ".,:;!"}
+        self._tails = _Tails(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self._merge(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         """Ids of a run without white space, before which a byte vocabulary has a space, or the line feed that the word then begins with."""
         ids = self._older.get(word)
         if ids is None:
-            if word[-1] in self._ends and word[:-1].isalpha():
-                ids = self[word[:-1]] + self._ends[word[-1]]
-            elif word.isalpha() and (word.isascii() or _LATIN.match(word)):
-                piece = f" {word}".encode().decode("latin-1").translate(_BYTE_CHARS) if self._byte else word.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
-                ids = array("I", [t.id for t in self._merge(piece)]).tobytes()
+            core = word.rstrip(punctuation)
+            first = self._byte and core[:1] == "\n"
+            letters = core[1:] if first else core
+            if letters.isalpha() and (letters.isascii() or _LATIN.match(letters)):
+                if core is not word:
+                    ids = self[core] + self._tails[word[len(core) :]]
+                elif first:
+                    ids = self._tails["\n"] + self._letters(letters)
+                else:
+                    ids = self._letters(f" {letters}" if self._byte else letters.lower())
             else:
                 ids = self._whole(f" {word}" if self._byte and word[0] != "\n" else word)
         self[word] = ids
