@@ -1,4 +1,382 @@
 """Every registered query, with its SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import normalize as N
+from ..functions import strings as S
+from ..functions import tables as T
+from ..operators import blocking, decision, dense, features, filtering, metrics, records, sampling, scorer, tfidf
+from . import views as V
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _cases(expr: str, pairs: dict[str, str]) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {expr} END"
+
+
+def _chain(expr: str, pairs: dict[str, str]) -> str:
+    for k in sorted(pairs, key=len, reverse=True):
+        expr = f"regexp_replace({expr}, '\\b{k}\\b', '{pairs[k]}', 'g')"
+    return expr
+
+
+# ---- normalisation
+
+_WORDS = "list_filter(regexp_split_to_array({}, '[^a-z0-9]+'), lambda t: t <> '')"
+_SHORT = "SELECT s_suppkey AS id, lower(s_name) AS name FROM supplier UNION ALL SELECT p_partkey + 1000000, lower(p_name) FROM part UNION ALL SELECT c_custkey + 2000000, lower(c_name || ' ' || c_mktsegment || ' co ltd ltd') FROM customer"
+
+
+def _short(spark, d):
+    s = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lower("s_name").alias("name"))
+    p = V.table(spark, d, "part").select((F.col("p_partkey") + 1000000).alias("id"), F.lower("p_name").alias("name"))
+    c = V.table(spark, d, "customer").select((F.col("c_custkey") + 2000000).alias("id"), F.lower(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit(" co ltd ltd"))).alias("name"))
+    return s.unionByName(p).unionByName(c)
+
+
+def _ascii_words(c):
+    return F.filter(F.split(c, "[^a-z0-9]+"), lambda t: t != "")
+
+
+@query("SELECT doc_id, lower(trim(coalesce(' ' || lang || ' ', ''))) AS ckey FROM documents")
+def norm_country(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", N.country(F.concat(F.lit(" "), "lang", F.lit(" "))).alias("ckey"))
+
+
+def _letters(text: str) -> str:
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        text = f"regexp_replace({text}, '{c}{c}+', '{c}', 'g')"
+    return text
+
+
+@query(f"SELECT doc_id, {_letters('lower(substr(text, 1, 128))')} AS key FROM documents")
+def blocking_key(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", N.blocking_key(F.lower(F.substring("text", 1, 128))).alias("key"))
+
+
+@query(f"SELECT id, array_to_string(list_transform({_WORDS.format('name')}, lambda t: {_cases('t', T.LEGAL_SUFFIXES)}), ' ') AS name FROM ({_SHORT})")
+def legal_suffix_map(spark, d):
+    return _short(spark, d).select("id", F.array_join(N.legal_suffixes(_ascii_words(F.col("name"))), " ").alias("name"))
+
+
+_PHRASED = "name || CASE id % 4 WHEN 0 THEN ' limited liability company' WHEN 1 THEN ' professional limited liability company' WHEN 2 THEN ' doing business as x' ELSE ' limited partnership' END"
+
+
+@query(f"SELECT id, {_chain('(' + _PHRASED + ')', T.LEGAL_PHRASES)} AS name FROM ({_SHORT})")
+def legal_phrase_map(spark, d):
+    return _short(spark, d).select("id", N.legal_phrases(F.expr(_PHRASED)).alias("name"))
+
+
+_PLACED = "name || CASE id % 5 WHEN 0 THEN ', <NULL>, 12 main st' WHEN 1 THEN ',n/a' WHEN 2 THEN ', [None],, unknown' WHEN 3 THEN ', 4 oak rd, ' ELSE '' END"
+_IN = ", ".join(f"'{p}'" for p in T.PLACEHOLDERS)
+
+
+@query(f"SELECT id, array_to_string(list_filter(string_split({_PLACED}, ','), lambda p: lower(trim(trim(p), '<>[]()')) NOT IN ({_IN})), ',') AS address FROM ({_SHORT})")
+def addr_placeholder_drop(spark, d):
+    return _short(spark, d).select("id", N.drop_placeholders(F.expr(_PLACED)).alias("address"))
+
+
+_ORDERED = "name || CASE id % 4 WHEN 0 THEN ' 007 first st' WHEN 1 THEN ' 42nd ave' WHEN 2 THEN ' twelfth 0101' ELSE ' 3rd 11th' END"
+_BARE = r"regexp_replace(regexp_replace(t, '\b0+(\d)', '\1'), '\b(\d+)(?:st|nd|rd|th)\b', '\1')"
+
+
+@query(f"SELECT id, array_to_string(list_transform(list_transform({_WORDS.format('(' + _ORDERED + ')')}, lambda t: {_BARE}), lambda t: {_cases('t', T.ORDINALS)}), ' ') AS address FROM ({_SHORT})")
+def ordinal_rewrite(spark, d):
+    return _short(spark, d).select("id", F.array_join(N.ordinals(_ascii_words(F.expr(_ORDERED))), " ").alias("address"))
+
+
+_WITH_FRANCE = {**T.ADDRESS_WORDS, **T.ADDRESS_WORDS_BY_COUNTRY["france"]}
+_ROADS = "name || ' r st ave nw blvd ste 12'"
+
+
+@query(f"SELECT id, array_to_string(list_transform({_WORDS.format('(' + _ROADS + ')')}, lambda t: CASE WHEN id % 2 = 0 THEN {_cases('t', _WITH_FRANCE)} ELSE {_cases('t', T.ADDRESS_WORDS)} END), ' ') AS address FROM ({_SHORT})")
+def address_words(spark, d):
+    ckey = F.when(F.col("id") % 2 == 0, "france").otherwise("us")
+    return _short(spark, d).select("id", F.array_join(N.address_words(_ascii_words(F.expr(_ROADS)), ckey), " ").alias("address"))
+
+
+_STATES = "name || CASE id % 4 WHEN 0 THEN ' new york' WHEN 1 THEN ' west virginia' WHEN 2 THEN ' tamil nadu' ELSE ' north dakota' END"
+
+
+@query(f"SELECT id, CASE WHEN id % 2 = 0 THEN {_chain('(' + _STATES + ')', T.REGIONS['us'])} ELSE {_chain('(' + _STATES + ')', T.REGIONS['india'])} END AS address FROM ({_SHORT})")
+def region_codes(spark, d):
+    return _short(spark, d).select("id", N.regions(F.expr(_STATES), F.when(F.col("id") % 2 == 0, "us").otherwise("india")).alias("address"))
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, {_WORDS.format("lower(substr(text, 1, 256))")} AS t FROM documents)
+SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda x: x[2] = 1 OR x[1] <> t[x[2] - 1] OR NOT regexp_full_match(x[1], '[a-z]+')), lambda x: x[1]), ' ') AS text FROM w"""
+)
+def dedupe_consecutive(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(N.dedupe_consecutive(_ascii_words(F.lower(F.substring("text", 1, 256)))), " ").alias("text"))
+
+
+@query(f"""SELECT doc_id, list_filter(list_transform(string_split(lower(substr(text, 1, 128)), ','), lambda p: array_to_string({_WORDS.format("p")}, ' ')), lambda p: p <> '') AS parts FROM documents""")
+def address_components(spark, d):
+    parts = F.transform(F.split(F.lower(F.substring("text", 1, 128)), ","), lambda p: F.array_join(_ascii_words(p), " "))
+    return V.table(spark, d, "documents").select("doc_id", F.filter(parts, lambda p: p != "").alias("parts"))
+
+
+@query(f"""SELECT id, coalesce(nullif(array_to_string(list_filter(string_split(name, ' '), lambda t: t NOT IN ({", ".join(f"'{t}'" for t in T.LEGAL_TOKENS)})), ' '), ''), name) AS core FROM (SELECT id, name || ' limited company' AS name FROM ({_SHORT}))""")
+def core_name(spark, d):
+    return _short(spark, d).select("id", N.core_name(F.concat("name", F.lit(" limited company"))).alias("core"))
+
+
+@query(f"""SELECT id, {_WORDS.format("name")} AS tokens, regexp_extract_all(name, '[0-9]+') AS numbers FROM ({_SHORT})""")
+def tokens_and_numbers(spark, d):
+    return _short(spark, d).select("id", N.tokens(F.col("name")).alias("tokens"), N.numbers(F.col("name")).alias("numbers"))
+
+
+@query()
+def normalized_records(spark, d):
+    return records.normalized(V.entities(spark, d), need_dense=True)
+
+
+@query()
+def light_text(spark, d):
+    e = V.entities(spark, d)
+    return e.select("entity_id", N.pair_text(F.col("business_name"), F.col("business_address"), F.col("country")).alias("text"))
+
+
+@query()
+def address_parts(spark, d):
+    return records.with_address_parts(V.entities(spark, d)).select("entity_id", "comps")
+
+
+# ---- n-grams and TF-IDF
+
+_GRAMS = f"""{V.RECORDS}, toks AS (
+  SELECT source, ckey, entity_id, ' ' || unnest(list_filter(regexp_split_to_array({{text}}, '\\s+'), lambda t: t <> '')) || ' ' AS t FROM records
+), sized AS (
+  SELECT *, unnest(range(2, greatest(2, least(4, length(t))) + 1)) AS n FROM toks
+), grams AS (
+  SELECT source, ckey, entity_id, substr(t, unnest(range(1, greatest(length(t) - n + 1, 1) + 1)), n) AS gram FROM sized
+), counts AS (
+  SELECT source, ckey, entity_id, gram, count(*) AS tf FROM grams GROUP BY ALL
+), docs AS (
+  SELECT ckey, count(*) AS n_docs FROM records GROUP BY 1
+), idf AS (
+  SELECT c.ckey, gram, count(*) AS df, any_value(n_docs) AS n_docs, ln((1 + any_value(n_docs)) / (1 + count(*))) + 1 AS idf
+  FROM counts c JOIN docs USING (ckey) GROUP BY c.ckey, gram HAVING count(*) >= CASE WHEN any_value(n_docs) >= 100 THEN 2 ELSE 1 END
+)"""
+_VECTORS = f"""{_GRAMS}, raw AS (
+  SELECT c.ckey, source, entity_id, gram, (1 + ln(tf)) * idf AS w FROM counts c JOIN idf USING (ckey, gram)
+), full_v AS (
+  SELECT ckey, source, entity_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY source, entity_id)), 9) AS w FROM raw
+)"""
+_PRUNED = f"""{_VECTORS}, cut AS (
+  SELECT * FROM full_v QUALIFY row_number() OVER (PARTITION BY source, entity_id ORDER BY w DESC, gram) <= 48
+), v AS (
+  SELECT ckey, source, entity_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY source, entity_id)), 9) AS w FROM cut
+)"""
+_CAPPED = f"""{_PRUNED}, sizes AS (
+  SELECT ckey, source, count(*) AS n FROM records GROUP BY ALL
+), fine AS (
+  SELECT v.ckey, v.source, gram FROM v JOIN sizes s ON v.ckey = s.ckey AND v.source = s.source WHERE v.source <> 'S1'
+  GROUP BY v.ckey, v.source, gram HAVING count(*) <= greatest(floor(0.02 * any_value(n)), 50)
+), pool AS (
+  SELECT v.* FROM v JOIN fine f ON v.ckey = f.ckey AND v.source = f.source AND v.gram = f.gram
+)"""
+_TOPK = f"""{_CAPPED}, hits AS (
+  SELECT a.entity_id AS q, b.entity_id AS p, b.source, b.ckey AS part, round(sum(a.w * b.w), 6) AS score
+  FROM v a JOIN pool b ON a.ckey = b.ckey AND a.gram = b.gram WHERE a.source = 'S1' GROUP BY ALL
+), {{name}} AS (
+  SELECT *, row_number() OVER (PARTITION BY part, source, q ORDER BY score DESC, p) AS rank FROM hits QUALIFY rank <= {{k}}
+)"""
+
+
+def _sql(template: str, text: str, **more) -> str:
+    out = template.replace("{text}", text)
+    for k, v in more.items():
+        out = out.replace("{" + k + "}", str(v))
+    return "WITH " + out
+
+
+def _idf(rows, text):
+    counts = tfidf.gram_counts(rows, text, ["source", "ckey", "entity_id"])
+    return counts, tfidf.fit_idf(counts, rows, ["ckey"])
+
+
+def _vectors(spark, d, text="sparse_text"):
+    rows = V.records(spark, d)
+    counts, idf = _idf(rows, text)
+    return tfidf.vectors(counts, idf, ["ckey"], ["source", "entity_id"]).select("ckey", "source", "entity_id", "gram", "w")
+
+
+@query(_sql(_GRAMS, "sparse_text") + " SELECT source, ckey, entity_id, gram, tf FROM counts")
+def char_ngrams(spark, d):
+    return tfidf.gram_counts(V.records(spark, d), "sparse_text", ["source", "ckey", "entity_id"])
+
+
+@query(_sql(_GRAMS, "sparse_text") + " SELECT ckey, gram, df, n_docs, round(idf, 9) AS idf FROM idf")
+def tfidf_idf(spark, d):
+    return _idf(V.records(spark, d), "sparse_text")[1].select("ckey", "gram", "df", "n_docs", F.round("idf", 9).alias("idf"))
+
+
+@query(_sql(_PRUNED, "sparse_text") + " SELECT source, entity_id, gram, round(w, 6) AS w FROM v")
+def tfidf_topfeatures(spark, d):
+    return tfidf.prune(_vectors(spark, d), ["source", "entity_id"]).select("source", "entity_id", "gram", F.round("w", 6).alias("w"))
+
+
+@query(_sql(_CAPPED, "sparse_text") + " SELECT ckey, source, gram, count(*) AS n FROM pool GROUP BY ALL")
+def postings_cap(spark, d):
+    v = tfidf.prune(_vectors(spark, d), ["source", "entity_id"]).where("source <> 'S1'")
+    sizes = V.records(spark, d).groupBy("ckey", "source").agg(F.count("*").alias("n"))
+    return tfidf.cap_postings(v, sizes, ["ckey", "source"]).groupBy("ckey", "source", "gram").agg(F.count("*").alias("n"))
+
+
+def _channel(spark, d, text, k):
+    rows = V.records(spark, d)
+    return tfidf.top_k(rows, _idf(rows, text)[1], text, k)
+
+
+@query(_sql(_TOPK, "sparse_text", name="top", k=20) + " SELECT * FROM top")
+def sparse_topk(spark, d):
+    return _channel(spark, d, "sparse_text", 20)
+
+
+@query(_sql(_TOPK, "name_text", name="top", k=10) + " SELECT * FROM top")
+def sparse_name_topk(spark, d):
+    return _channel(spark, d, "name_text", 10)
+
+
+_DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+_DENSE_TOP = f"""{V.DENSE}, dense_top AS (
+  SELECT a.entity_id AS q, b.entity_id AS p, b.source, round({_DOT}, 6) AS score FROM dense a JOIN dense b ON a.ckey = b.ckey WHERE a.source = 'S1' AND b.source <> 'S1'
+), dense_ranked AS (SELECT *, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, p) AS rank FROM dense_top QUALIFY rank <= 20)"""
+
+
+@query(f"WITH {_DENSE_TOP} SELECT * FROM dense_ranked")
+def dense_topk(spark, d):
+    return dense.top_k(V.dense_records(spark, d), 20)
+
+
+@query(f"""WITH {V.DENSE}, dp AS (SELECT q, p FROM (SELECT a.entity_id AS q, 'S2-' || lpad((substr(a.entity_id, 4)::BIGINT + 1)::VARCHAR, 6, '0') AS p FROM dense a WHERE a.source = 'S1'))
+SELECT q, p, round({_DOT}, 6) AS cos FROM dp LEFT JOIN dense a ON a.entity_id = q LEFT JOIN dense b ON b.entity_id = p""")
+def dense_pair_cos(spark, d):
+    r = V.dense_records(spark, d)
+    p = F.concat(F.lit("S2-"), F.lpad((F.substring("entity_id", 4, 20).cast("long") + 1).cast("string"), 6, "0"))
+    return dense.pair_cosine(r.where("source = 'S1'").select(F.col("entity_id").alias("q"), p.alias("p")), "q", "p", r, "cos").select("q", "p", "cos")
+
+
+@query()
+def dense_topk_cells(spark, d):
+    return dense.top_k_by_cells(V.dense_records(spark, d), 20, probes=8)
+
+
+# ---- candidates and their recall
+
+_UNION = "WITH " + _TOPK.replace("{text}", "sparse_text").replace("{name}", "top_s").replace("{k}", "20") + """, ranked_d AS (
+  SELECT q, p, source, score, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, p) AS rank
+  FROM (SELECT a.entity_id AS q, b.entity_id AS p, b.source, round(1.0 / (1 + abs(length(a.name_text) - length(b.name_text)) + abs(a.id - b.id)), 6) AS score
+        FROM (SELECT *, substr(entity_id, 4)::BIGINT AS id FROM records) a JOIN (SELECT *, substr(entity_id, 4)::BIGINT AS id FROM records) b ON a.ckey = b.ckey AND a.id // 60 = b.id // 60
+        WHERE a.source = 'S1' AND b.source <> 'S1')
+  QUALIFY rank <= 5
+), combined AS (
+  SELECT q, p, source, max(s) AS sparse_score, coalesce(min(sr), 0)::INT AS sparse_rank, max(d) AS dense_score, coalesce(min(dr), 0)::INT AS dense_rank
+  FROM (SELECT q, p, source, score AS s, rank AS sr, NULL AS d, NULL AS dr FROM top_s UNION ALL SELECT q, p, source, NULL, NULL, score, rank FROM ranked_d) GROUP BY q, p, source
+), truth_pairs AS (
+  SELECT a.entity_id AS q, b.entity_id AS p, a.ckey AS country FROM records a JOIN records b ON a.ckey = b.ckey AND a.name_text = b.name_text WHERE a.source = 'S1' AND b.source <> 'S1'
+), found AS (
+  SELECT t.q, t.p, t.country, split_part(t.p, '-', 1) AS source, c.q IS NOT NULL AS hit, coalesce(sparse_rank, 0) AS sparse_rank, coalesce(dense_rank, 0) AS dense_rank
+  FROM truth_pairs t LEFT JOIN combined c ON t.q = c.q AND t.p = c.p
+)"""
+
+
+def _near(spark, d):
+    """A second channel, which the tables have no embeddings for: records of like length nearby in the table."""
+    r = V.records(spark, d).withColumn("id", F.substring("entity_id", 4, 20).cast("long")).withColumn("block", F.floor(F.col("id") / 60))
+    a = r.where("source = 'S1'").select("ckey", "block", F.col("entity_id").alias("q"), F.col("id").alias("i"), F.length("name_text").alias("m"))
+    b = r.where("source <> 'S1'").select("ckey", "block", "source", F.col("entity_id").alias("p"), F.col("id").alias("j"), F.length("name_text").alias("n"))
+    score = F.round(1.0 / (1 + F.abs(F.col("m") - F.col("n")) + F.abs(F.col("i") - F.col("j"))), 6)
+    w = sampling.W.partitionBy("q", "source").orderBy(F.col("score").desc(), "p")
+    return a.join(b, ["ckey", "block"]).withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("q", "p", "source", "score", "rank")
+
+
+def _combined(spark, d):
+    return blocking.combine({"sparse": _channel(spark, d, "sparse_text", 20), "dense": _near(spark, d)})
+
+
+def _found(spark, d):
+    r = V.records(spark, d)
+    a = r.where("source = 'S1'").select("ckey", "name_text", F.col("entity_id").alias("q"))
+    b = r.where("source <> 'S1'").select("ckey", "name_text", F.col("entity_id").alias("p"))
+    return blocking.found_truth(a.join(b, ["ckey", "name_text"]).select("q", "p", F.col("ckey").alias("country")), _combined(spark, d))
+
+
+@query(_UNION + " SELECT * FROM combined")
+def candidate_union(spark, d):
+    return _combined(spark, d)
+
+
+@query(_UNION + " SELECT r.entity_id AS source1_entity_id, coalesce(string_agg(c.p, ',' ORDER BY c.source, c.p), '') AS candidate_entity_ids FROM records r LEFT JOIN combined c ON r.entity_id = c.q WHERE r.source = 'S1' GROUP BY 1")
+def candidate_lists(spark, d):
+    return blocking.candidate_lists(V.records(spark, d).where("source = 'S1'"), _combined(spark, d))
+
+
+@query(
+    _UNION
+    + """ SELECT 'all' AS by, '' AS value, count(*) AS n, round(avg(hit::INT), 4) AS recall FROM found UNION ALL
+SELECT 'source', source, count(*), round(avg(hit::INT), 4) FROM found GROUP BY source UNION ALL SELECT 'country', country, count(*), round(avg(hit::INT), 4) FROM found GROUP BY country"""
+)
+def recall(spark, d):
+    return blocking.recall(_found(spark, d))
+
+
+@query(
+    _UNION
+    + """, each AS (SELECT source, 'sparse' AS channel, sparse_rank > 0 AS h, sparse_rank > 0 AND dense_rank = 0 AS u FROM found UNION ALL SELECT source, 'dense', dense_rank > 0, dense_rank > 0 AND sparse_rank = 0 FROM found)
+SELECT channel, source, count(*) AS n, round(avg(h::INT), 4) AS recall, sum(u::INT)::BIGINT AS unique_hits FROM each GROUP BY ALL UNION ALL SELECT channel, '', count(*), round(avg(h::INT), 4), sum(u::INT)::BIGINT FROM each GROUP BY channel"""
+)
+def recall_by_channel(spark, d):
+    return blocking.recall_by_channel(_found(spark, d), ["sparse", "dense"])
+
+
+@query(
+    _UNION
+    + """ SELECT 'sparse' AS channel, k, round(avg((sparse_rank BETWEEN 1 AND k)::INT), 4) AS recall FROM found, (VALUES (1), (5), (10), (20)) ks(k) GROUP BY k
+UNION ALL SELECT 'dense', k, round(avg((dense_rank BETWEEN 1 AND k)::INT), 4) FROM found, (VALUES (1), (5), (10), (20)) ks(k) GROUP BY k"""
+)
+def recall_at_k(spark, d):
+    return blocking.recall_at_k(_found(spark, d), ["sparse", "dense"])
+
+
+@query(_UNION + " SELECT count(*) AS n_entities, round(avg(a::INT), 4) AS entity_full_recall FROM (SELECT q, bool_and(hit) AS a FROM found GROUP BY q)")
+def entity_full_recall(spark, d):
+    return blocking.entity_full_recall(_found(spark, d))
+
+
+@query(
+    _UNION
+    + """, c AS (SELECT ckey, sum((source = 'S1')::INT) AS nq, sum((source <> 'S1')::INT) AS np FROM records GROUP BY ckey), t AS (SELECT sum(nq)::BIGINT AS n_queries, sum(np)::BIGINT AS n_pool, sum(nq * np) AS within FROM c), n AS (SELECT count(*) AS n_pairs FROM combined)
+SELECT n_pairs, n_queries, n_pool, round(1 - n_pairs / greatest(n_queries * n_pool, 1), 6) AS reduction_ratio, round(1 - n_pairs / greatest(within, 1), 6) AS reduction_ratio_within_country FROM n, t"""
+)
+def reduction_ratio(spark, d):
+    return blocking.reduction_ratio(V.records(spark, d), _combined(spark, d))
+
+
+@query(
+    _UNION
+    + """, per AS (SELECT r.entity_id, count(c.q) AS n FROM records r LEFT JOIN combined c ON r.entity_id = c.q WHERE r.source = 'S1' GROUP BY 1)
+SELECT round(avg(n), 2) AS avg_candidates, sum((n = 0)::INT)::BIGINT AS s1_with_no_candidates, quantile_cont(n, 0.0)::DOUBLE AS q0, quantile_cont(n, 0.5)::DOUBLE AS q50, quantile_cont(n, 0.9)::DOUBLE AS q90, quantile_cont(n, 1.0)::DOUBLE AS q100 FROM per"""
+)
+def candidates_quantiles(spark, d):
+    return blocking.candidate_quantiles(V.records(spark, d).where("source = 'S1'"), _combined(spark, d))
+
+
+@query(_UNION + " SELECT source, round(count(*) / (SELECT count(*) FROM records WHERE source = 'S1'), 2) AS avg_candidates FROM combined GROUP BY source")
+def candidates_by_source(spark, d):
+    return blocking.candidates_by_source(V.records(spark, d).where("source = 'S1'"), _combined(spark, d))
