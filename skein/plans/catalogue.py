@@ -380,3 +380,484 @@ def candidates_quantiles(spark, d):
 @query(_UNION + " SELECT source, round(count(*) / (SELECT count(*) FROM records WHERE source = 'S1'), 2) AS avg_candidates FROM combined GROUP BY source")
 def candidates_by_source(spark, d):
     return blocking.candidates_by_source(V.records(spark, d).where("source = 'S1'"), _combined(spark, d))
+
+
+# ---- pair features
+
+_TOKENS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda t: t <> '')"
+_JACC = "len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0)"
+
+
+def _pairs(spark, d):
+    """q, p with names and addresses whose digits and words are separated, so that tokens are not only letters."""
+    return V.pairs(spark, d).where("source = 'S2'")
+
+
+_P = f"WITH {V.PAIRS}, chosen AS (SELECT * FROM pairs WHERE source = 'S2')"
+
+
+@query(
+    _P
+    + """, plain AS (SELECT q, p, regexp_replace(a_name, '[^a-z ]', '', 'g') AS a, regexp_replace(b_name, '[^a-z ]', '', 'g') AS b FROM chosen)
+SELECT q, p, round(coalesce(1 - levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 1), 6) AS name_lev, round(least(length(a), length(b)) / nullif(greatest(length(a), length(b)), 0), 6) AS name_len_ratio FROM plain"""
+)
+def lev_features(spark, d):
+    a, b = (F.regexp_replace(c, "[^a-z ]", "") for c in ("a_name", "b_name"))
+    return _pairs(spark, d).select("q", "p", F.round(features.levenshtein_similarity(a, b), 6).alias("name_lev"), F.round(features.length_ratio(a, b), 6).alias("name_len_ratio"))
+
+
+@query(
+    _P
+    + f""", t AS (SELECT q, p, {_TOKENS.format("a_name")} AS a, {_TOKENS.format("b_name")} AS b FROM chosen)
+SELECT q, p, round({_JACC.format(a="a", b="b")}, 6) AS name_jacc, len(list_intersect(a, b)) / nullif(least(len(list_distinct(a)), len(list_distinct(b))), 0) AS contain, abs(len(a) - len(b)) AS ntok_diff, coalesce(a[1] = b[1], FALSE) AS first_tok FROM t"""
+)
+def jaccard_features(spark, d):
+    a, b = (N.words(F.col(c)) for c in ("a_name", "b_name"))
+    size = lambda x: F.size(F.array_distinct(x))
+    return _pairs(spark, d).select("q", "p", F.round(features.jaccard(a, b), 6).alias("name_jacc"), (F.size(F.array_intersect(a, b)) / F.nullif(F.least(size(a), size(b)), F.lit(0))).alias("contain"), F.abs(F.size(a) - F.size(b)).alias("ntok_diff"), F.coalesce(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), F.lit(False)).alias("first_tok"))
+
+
+_NUMBERED = "(SELECT q, p, regexp_extract_all(translate(a_addr, 'aeiou', '12345'), '[0-9]+') AS a, regexp_extract_all(translate(b_addr, 'aeiou', '12345'), '[0-9]+') AS b FROM chosen)"
+
+
+@query(
+    _P
+    + f""" SELECT q, p, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round({_JACC.format(a="a", b="b")}, 6) END AS addr_num_jacc,
+CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) END AS addr_num_overlap, CASE WHEN len(a) > 0 AND len(b) > 0 THEN (a[1] = b[1])::INT END AS addr_first_num,
+(list_filter(a, lambda x: length(x) >= 2)[-1] = list_filter(b, lambda x: length(x) >= 2)[-1])::INT AS addr_last_num FROM {_NUMBERED}"""
+)
+def num_features(spark, d):
+    a, b = (N.numbers(F.translate(c, "aeiou", "12345")) for c in ("a_addr", "b_addr"))
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    last = lambda x: F.try_element_at(F.filter(x, lambda t: F.length(t) >= 2), F.lit(-1))
+    return _pairs(spark, d).select("q", "p", F.when(both, F.round(features.jaccard(a, b), 6)).alias("addr_num_jacc"), F.when(both, F.size(F.array_intersect(a, b))).alias("addr_num_overlap"), F.when(both, (F.get(a, F.lit(0)) == F.get(b, F.lit(0))).cast("int")).alias("addr_first_num"), (last(a) == last(b)).cast("int").alias("addr_last_num"))
+
+
+@query(_P + " SELECT q, p, (a_name = b_name AND a_name <> '')::INT AS name_exact, (a_name <> '' AND b_name <> '' AND (contains(a_name, b_name) OR contains(b_name, a_name)))::INT AS contained, (a_addr = '')::INT AS addr_missing FROM chosen")
+def exact_contains(spark, d):
+    a, b = F.col("a_name"), F.col("b_name")
+    return _pairs(spark, d).select("q", "p", ((a == b) & (a != "")).cast("int").alias("name_exact"), ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))).cast("int").alias("contained"), (F.col("a_addr") == "").cast("int").alias("addr_missing"))
+
+
+_TIDF = f""", texts AS (SELECT entity_id, lower(business_name) AS name FROM entities), tn AS (SELECT count(*) AS n FROM texts),
+tdf AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS.format("name")})) AS token FROM texts) GROUP BY token),
+tidf AS (SELECT token, ln((1 + n) / (1 + df)) + 1 AS idf, ln(1 + n) + 1 AS default_idf FROM tdf, tn)"""
+
+
+def _token_idf(spark, d):
+    return tfidf.token_idf(V.entities(spark, d).select(F.lower("business_name").alias("name")), "name")
+
+
+@query(f"WITH {V.ENTITIES}{_TIDF} SELECT token, round(idf, 6) AS idf, round(default_idf, 6) AS default_idf FROM tidf")
+def token_idf(spark, d):
+    return _token_idf(spark, d).select("token", F.round("idf", 6).alias("idf"), F.round("default_idf", 6).alias("default_idf"))
+
+
+@query(
+    _P
+    + _TIDF
+    + f""", u AS (SELECT q, p, unnest(list_distinct(list_concat({_TOKENS.format("a_name")}, {_TOKENS.format("b_name")}))) AS token, {_TOKENS.format("a_name")} AS a, {_TOKENS.format("b_name")} AS b FROM chosen)
+SELECT s.q, s.p, w.name_wjacc FROM chosen s LEFT JOIN (SELECT q, p, round(sum(CASE WHEN list_contains(a, token) AND list_contains(b, token) THEN idf ELSE 0 END) / sum(idf), 6) AS name_wjacc FROM u JOIN tidf USING (token) GROUP BY q, p) w ON s.q = w.q AND s.p = w.p"""
+)
+def weighted_jaccard(spark, d):
+    return features.weighted_jaccard(_pairs(spark, d), "a_name", "b_name", _token_idf(spark, d), "name_wjacc").select("q", "p", "name_wjacc")
+
+
+_NAMES = "(SELECT a.s_suppkey AS q, b.p_partkey AS p, lower(a.s_name) AS a, lower(b.p_name) AS b FROM supplier a JOIN part b ON b.p_partkey % 50 = a.s_suppkey % 50)"
+
+
+def _name_pairs(spark, d):
+    a = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("q"), F.lower("s_name").alias("a"), (F.col("s_suppkey") % 50).alias("k"))
+    b = V.table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.lower("p_name").alias("b"), (F.col("p_partkey") % 50).alias("k"))
+    return a.join(b, "k").select("q", "p", "a", "b")
+
+
+@query(f"SELECT q, p, round(jaro_winkler_similarity(a, b), 6) AS name_jw FROM {_NAMES}")
+def jaro_winkler(spark, d):
+    return _name_pairs(spark, d).select("q", "p", F.round(S.jaro_winkler(F.col("a"), F.col("b")), 6).alias("name_jw"))
+
+
+@query(
+    f"""WITH n AS (SELECT * FROM {_NAMES}), subs AS (SELECT DISTINCT q, p, b, a, substr(a, i, l) AS s FROM n, range(1, 41) r(i), range(1, 41) m(l) WHERE i + l - 1 <= length(a))
+SELECT n.q, n.p, round(coalesce(max(length(s)), 0) / least(length(any_value(n.a)), length(any_value(n.b))), 6) AS name_lcsub FROM n LEFT JOIN subs ON n.q = subs.q AND n.p = subs.p AND contains(subs.b, s) GROUP BY n.q, n.p"""
+)
+def lcsub(spark, d):
+    return _name_pairs(spark, d).select("q", "p", F.round(S.common_substring(F.col("a"), F.col("b")), 6).alias("name_lcsub"))
+
+
+@query()
+def indel_token_sort(spark, d):
+    return _pairs(spark, d).select("q", "p", F.round(S.token_sort(F.col("a_name"), F.col("b_name")), 6).alias("name_tsort"))
+
+
+@query()
+def token_set(spark, d):
+    return _pairs(spark, d).select("q", "p", F.round(S.token_set(F.col("a_name"), F.col("b_name")), 6).alias("name_tset"))
+
+
+@query()
+def partial_ratio(spark, d):
+    return _name_pairs(spark, d).select("q", "p", F.round(S.partial(F.col("a"), F.col("b")), 6).alias("name_partial"))
+
+
+@query()
+def abbrev_sim(spark, d):
+    return _pairs(spark, d).select("q", "p", F.round(S.abbreviation(F.col("a_name"), F.col("b_name")), 6).alias("name_abbrev_sim"))
+
+
+@query()
+def acronym(spark, d):
+    return _pairs(spark, d).select("q", "p", S.initialism(F.col("a_name"), F.col("b_name")).alias("acronym_match"))
+
+
+_COS = """, few AS (SELECT q, p, source, ckey AS part FROM pairs), coss AS (
+  SELECT f.*, coalesce(c.cos, 0.0) AS cos FROM few f LEFT JOIN (
+    SELECT f.q, f.p, round(sum(a.w * b.w), 6) AS cos FROM few f JOIN full_v a ON a.entity_id = f.q JOIN full_v b ON b.entity_id = f.p AND b.gram = a.gram GROUP BY f.q, f.p) c ON f.q = c.q AND f.p = c.p)"""
+_PAIR_COS = _sql(_VECTORS, "sparse_text") + ", " + V.PAIRS.split("documents), ", 1)[1] + _COS
+
+
+def _pair_cos(spark, d):
+    v = _vectors(spark, d).withColumnRenamed("ckey", "part")
+    return tfidf.pair_cosine(V.pairs(spark, d).select("q", "p", "source", F.col("ckey").alias("part")), "q", "p", v, "cos")
+
+
+@query(_PAIR_COS + " SELECT q, p, cos FROM coss")
+def pair_tfidf_cos(spark, d):
+    return _pair_cos(spark, d).select("q", "p", "cos")
+
+
+def _context(spark, d):
+    s = V.scored(spark, d)
+    return features.structure(s.select("q", "p", "source", F.col("score").alias("full_tfidf_cos"), F.lit(None).cast("double").alias("bge_m3_cos"), F.when(F.col("score") > 0, F.col("score")).alias("name_tset")))
+
+
+_CTX = f"WITH {V.SCORED}"
+
+
+@query(_CTX + " SELECT q, p, (rank() OVER (PARTITION BY q ORDER BY score DESC))::DOUBLE AS grp_rank_tfidf, round(max(score) OVER (PARTITION BY q) - score, 6) AS grp_gap_tfidf, CASE WHEN score > 0 THEN (rank() OVER (PARTITION BY q ORDER BY nullif(score, 0) DESC NULLS LAST))::DOUBLE END AS grp_rank_name FROM scored")
+def group_rank_gap(spark, d):
+    return _context(spark, d).select("q", "p", "grp_rank_tfidf", F.round("grp_gap_tfidf", 6).alias("grp_gap_tfidf"), "grp_rank_name")
+
+
+@query(
+    _CTX
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS k FROM scored), m AS (SELECT q, round(max(score) - coalesce(max(CASE WHEN k = 2 THEN score END), 0), 6) AS grp_margin_tfidf, max(CASE WHEN k = 1 THEN p END) AS top_p FROM r GROUP BY q)
+SELECT q, p, grp_margin_tfidf, top_p FROM scored JOIN m USING (q)"""
+)
+def group_margin(spark, d):
+    return _context(spark, d).select("q", "p", F.round("grp_margin_tfidf", 6).alias("grp_margin_tfidf"), "top_p")
+
+
+@query(_CTX + " SELECT q, p, (count(*) OVER (PARTITION BY p))::DOUBLE AS cand_n_s1, (rank() OVER (PARTITION BY p ORDER BY score DESC))::DOUBLE AS cand_rank_s1, round(max(score) OVER (PARTITION BY p) - score, 6) AS cand_gap_s1, (count(*) OVER (PARTITION BY q, source))::DOUBLE AS grp_n_same_src FROM scored")
+def cand_competition(spark, d):
+    return _context(spark, d).select("q", "p", "cand_n_s1", "cand_rank_s1", F.round("cand_gap_s1", 6).alias("cand_gap_s1"), "grp_n_same_src")
+
+
+@query(
+    _PAIR_COS
+    + """, tops AS (SELECT q, p AS top_p FROM coss QUALIFY row_number() OVER (PARTITION BY q ORDER BY cos DESC, p) = 1), px AS (SELECT DISTINCT c.p, t.top_p FROM coss c JOIN tops t USING (q) WHERE c.p <> t.top_p),
+pc AS (SELECT px.p, px.top_p, round(sum(a.w * b.w), 6) AS s FROM px JOIN full_v a ON a.entity_id = px.p JOIN full_v b ON b.entity_id = px.top_p AND b.gram = a.gram GROUP BY ALL)
+SELECT c.q, c.p, CASE WHEN c.p <> t.top_p THEN coalesce(pc.s, 0.0) END AS sim_to_top1 FROM coss c JOIN tops t USING (q) LEFT JOIN pc ON pc.p = c.p AND pc.top_p = t.top_p"""
+)
+def sim_to_top1(spark, d):
+    w = sampling.W.partitionBy("q").orderBy(F.col("cos").desc(), "p").rowsBetween(sampling.W.unboundedPreceding, sampling.W.unboundedFollowing)
+    c = _pair_cos(spark, d).withColumn("top_p", F.first("p").over(w))
+    c = tfidf.pair_cosine(c, "p", "top_p", _vectors(spark, d).withColumnRenamed("ckey", "part"), "s")
+    return c.select("q", "p", F.when(F.col("p") != F.col("top_p"), F.col("s")).alias("sim_to_top1"))
+
+
+def _featured(spark, d):
+    # a cached table keeps the optimizer from repeating the normalisation in every expression that uses it
+    r = records.normalized(V.entities(spark, d), ascii_only=True).cache()
+    comps = V.entities(spark, d).select("entity_id", N.address_parts(F.col("business_address"), F.col("country"), ascii_only=True).alias("comps"))
+    v = {}
+    for text in ("sparse_text", "name_text"):
+        counts = tfidf.gram_counts(r, text, ["ckey", "source", "entity_id"])
+        v[text] = tfidf.vectors(counts, tfidf.fit_idf(counts, r, ["ckey"]), ["ckey"], ["source", "entity_id"]).select(F.col("ckey").alias("part"), "entity_id", "gram", "w")
+    s = V.scored(spark, d).where("score > 0.08")
+    pairs = s.select("q", "p", "source", F.col("score").alias("sparse_score"), F.lit(1).alias("sparse_rank"))
+    return features.build(pairs, r.join(comps, "entity_id"), v["sparse_text"], v["name_text"]).join(s.select("q", "p", "label"), ["q", "p"])
+
+
+@query()
+def pair_features(spark, d):
+    return _featured(spark, d).drop("label")
+
+
+# ---- filters, metrics, decisions
+
+_S, _T = f"WITH {V.SCORED}", f"WITH {V.TRUTH}"
+_F05 = "CASE WHEN n = 0 AND n_true = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n) * (tp / n_true) / (0.25 * (tp / n) + tp / n_true) END"
+_KEPT = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rk, max(score) OVER (PARTITION BY q) AS best FROM scored),
+kept AS (SELECT *, rk <= 5 AND score >= 0.05 AND best >= 0.1 AS keep FROM ranked)"""
+_TS = "(VALUES " + ", ".join(f"({t}::DOUBLE)" for t in metrics.THRESHOLDS) + ") ts(threshold)"
+_PF = "CASE WHEN {p} + {r} > 0 THEN 1.25 * {p} * {r} / (0.25 * {p} + {r}) ELSE 0 END"
+
+
+def _kept(spark, d):
+    return filtering.keep_top(V.scored(spark, d), 5, 0.05, 0.1)
+
+
+def _stats_sql(by: str, source: str) -> str:
+    keys = f"{by}, " if by else ""
+    return f"""SELECT {keys}sum(n)::BIGINT AS pairs_passed, round(sum(n) / greatest(count(*), 1), 3) AS avg_pairs_per_s1, round(sum(tp) / greatest(sum(n_true), 1), 4) AS true_pairs_retained,
+sum((n_true > 0 AND tp = 0)::INT)::BIGINT AS entities_lost_all_true, round(sum((n_true > 0 AND tp = 0)::INT) / greatest(sum((n_true > 0)::INT), 1), 4) AS entities_lost_all_true_pct,
+round(sum((n_true = 0 AND n = 0)::INT) / greatest(sum((n_true = 0)::INT), 1), 4) AS singletons_flagged_empty, sum((n_true > 0 AND n = 0)::INT)::BIGINT AS matched_flagged_empty,
+round(avg(CASE WHEN n_true = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n_true) / (0.25 + tp / n_true) END), 4) AS oracle_macro_f05 FROM {source} {f"GROUP BY {by}" if by else ""}"""
+
+
+@query(_S + _KEPT + " SELECT q, p, rk, keep FROM kept")
+def filter_topk(spark, d):
+    return _kept(spark, d).select("q", "p", "rk", "keep")
+
+
+@query(_T + _KEPT + ", per AS (SELECT t.q, t.n_true, count(k.q) AS n, coalesce(sum(k.label), 0) AS tp FROM truth t LEFT JOIN kept k ON t.q = k.q AND k.keep GROUP BY t.q, t.n_true) " + _stats_sql("", "per"))
+def filter_stats(spark, d):
+    return filtering.filter_stats(_kept(spark, d).where("keep"), V.truth(spark, d))
+
+
+_RULES = "(SELECT k AS top_k, f::DOUBLE AS floor FROM (VALUES (1), (2), (3), (5), (8), (10)) ks(k), (VALUES (0.01), (0.02), (0.05), (0.1), (0.2)) fs(f))"
+
+
+@query(_T + _KEPT + f", per AS (SELECT t.q, t.n_true, r.top_k, r.floor, count(k.q) AS n, coalesce(sum(k.label), 0) AS tp FROM truth t CROSS JOIN {_RULES} r LEFT JOIN ranked k ON t.q = k.q AND k.rk <= r.top_k AND k.score >= r.floor GROUP BY ALL) " + _stats_sql("top_k, floor", "per"))
+def filter_sweep(spark, d):
+    return filtering.filter_sweep(V.scored(spark, d), V.truth(spark, d))
+
+
+@query(
+    _T
+    + _KEPT
+    + """, x AS (SELECT t.q, coalesce(max(k.label), 0) AS there, coalesce(max(CASE WHEN k.keep THEN k.label END), 0) AS passed FROM truth t LEFT JOIN kept k ON t.q = k.q WHERE t.n_true > 0 GROUP BY t.q)
+SELECT count(*) AS matched, coalesce(sum((there = 0)::INT), 0)::BIGINT AS lost_at_retrieval, coalesce(sum((there = 1 AND passed = 0)::INT), 0)::BIGINT AS lost_at_filter, coalesce(sum((passed = 1)::INT), 0)::BIGINT AS kept_some FROM x"""
+)
+def loss_attribution(spark, d):
+    return filtering.loss_attribution(V.scored(spark, d), _kept(spark, d).where("keep"), V.truth(spark, d))
+
+
+@query(_T + " SELECT least(n_true, 8) AS matches, count(*) AS entities FROM truth GROUP BY 1")
+def match_histogram(spark, d):
+    return filtering.match_histogram(V.truth(spark, d))
+
+
+@query(
+    _S
+    + _KEPT
+    + """ SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(CASE WHEN keep THEN p END, ',' ORDER BY rk), '') AS candidate_entity_ids, coalesce(string_agg(CASE WHEN keep THEN printf('%.4f', score) END, ',' ORDER BY rk), '') AS candidate_scores,
+printf('%.4f', coalesce(max(score), 0.0)) AS best_score, (count(*) FILTER (keep) = 0)::INT AS likely_no_match FROM entities e LEFT JOIN kept k ON e.entity_id = k.q WHERE e.source = 'S1' GROUP BY 1"""
+)
+def filtered_lists(spark, d):
+    return filtering.filtered_lists(V.entities(spark, d).where("source = 'S1'"), _kept(spark, d))
+
+
+@query(
+    _S
+    + _KEPT
+    + """, r AS (SELECT q, p, printf('%.4f', score)::DOUBLE AS lgbm_score, rk FROM kept WHERE keep)
+SELECT q, p, lgbm_score, rk AS lgbm_rank, round(max(lgbm_score) OVER (PARTITION BY q) - lgbm_score, 6) AS lgbm_gap, count(*) OVER (PARTITION BY q) AS n_cands, round(ln(least(greatest(lgbm_score, 0.0001), 0.9999) / (1 - least(greatest(lgbm_score, 0.0001), 0.9999))), 6) AS lgbm_logit, (p[1:2] = 'S3')::INT AS is_s3 FROM r"""
+)
+def read_filtered(spark, d):
+    r = filtering.read_lists(filtering.filtered_lists(V.entities(spark, d).where("source = 'S1'"), _kept(spark, d)))
+    return r.withColumns({c: F.round(c, 6) for c in ("lgbm_gap", "lgbm_logit")})
+
+
+_AT = f", per AS (SELECT threshold, count(s.q) AS n, coalesce(sum(label), 0) AS tp FROM {_TS} LEFT JOIN scored s ON s.score >= threshold GROUP BY threshold), total AS (SELECT sum(n_true) AS t FROM truth), x AS (SELECT threshold, n, tp / greatest(n, 1) AS p, tp / greatest((SELECT sum(label) FROM scored), 1) AS r, tp / greatest(2 * t, 1) AS e FROM per, total)"
+
+
+def _n_true(spark, d):
+    return int(V.truth(spark, d).agg(F.sum("n_true")).first()[0] or 0)
+
+
+@query(_T + _AT + f" SELECT threshold, n AS n_pred, round(p, 4) AS precision, round(e, 4) AS recall, round({_PF.format(p='p', r='e')}, 4) AS f05 FROM x")
+def pair_threshold_table(spark, d):
+    return metrics.pair_threshold_table(V.scored(spark, d), 2 * _n_true(spark, d))
+
+
+@query(_T + _AT + f" SELECT threshold, n AS n_pred, round(p, 4) AS precision, round(r, 4) AS recall_reached, round(e, 4) AS recall_end_to_end, round({_PF.format(p='p', r='r')}, 4) AS f05_reached, round({_PF.format(p='p', r='e')}, 4) AS f05_end_to_end FROM x")
+def pair_sweep(spark, d):
+    return metrics.pair_sweep(V.scored(spark, d), 2 * _n_true(spark, d))
+
+
+_BYQ = f", per AS (SELECT t.q, n_true, threshold, count(s.q) AS n, coalesce(sum(label), 0) AS tp FROM truth t CROSS JOIN {_TS} LEFT JOIN scored s ON s.q = t.q AND s.score >= threshold GROUP BY ALL)"
+
+
+@query(_T + _BYQ + f" SELECT threshold, round(avg({_F05}), 4) AS macro_f05 FROM per GROUP BY threshold")
+def entity_threshold_table(spark, d):
+    return metrics.entity_threshold_table(V.scored(spark, d), V.truth(spark, d))
+
+
+@query(
+    _T
+    + _BYQ
+    + f""" SELECT threshold, round(avg({_F05}), 4) AS macro_f05, sum((n = 0)::INT)::BIGINT AS pred_empty, sum((n_true = 0)::INT)::BIGINT AS singletons, sum((n = 0 AND n_true = 0)::INT)::BIGINT AS empty_correct, sum((n = 0 AND n_true > 0)::INT)::BIGINT AS empty_wrong,
+round(sum((n > 0 AND n_true = 0)::INT) / greatest(sum((n_true = 0)::INT), 1), 4) AS singleton_false_merge FROM per GROUP BY threshold"""
+)
+def entity_sweep(spark, d):
+    return metrics.entity_sweep(V.scored(spark, d), V.truth(spark, d))
+
+
+_CUM = ", g AS (SELECT score AS s, count(*) AS n, sum(label) AS tp FROM scored GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY s DESC) AS cn, sum(tp) OVER (ORDER BY s DESC) AS ctp, (SELECT sum(label) FROM scored) AS pos FROM g)"
+
+
+@query(_S + _CUM + " SELECT round(sum(tp / nullif(pos, 0) * ctp / cn), 6) AS average_precision FROM c")
+def average_precision(spark, d):
+    return metrics.average_precision(V.scored(spark, d))
+
+
+@query(_S + _CUM + f", f AS (SELECT s, round({_PF.format(p='(ctp / cn)', r='(ctp / greatest(pos, 1))')}, 6) AS f FROM c) SELECT s AS threshold, f AS f05 FROM f ORDER BY f DESC, s DESC LIMIT 1")
+def best_pair_f05(spark, d):
+    return metrics.best_pair_f05(V.scored(spark, d))
+
+
+_BIN = "len(list_filter([" + ", ".join(f"{e!r}::DOUBLE" for e in metrics.edges(10)[1:-1]) + "], lambda e: score >= e))"
+
+
+@query(_S + f" SELECT {_BIN} AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS share_true FROM scored GROUP BY 1")
+def reliability(spark, d):
+    return metrics.reliability(V.scored(spark, d))
+
+
+@query(_S + f", b AS (SELECT {_BIN} AS bin, count(*) AS n, sum(score) AS s, sum(label) AS y, sum((score - label) ** 2) AS e FROM scored GROUP BY 1) SELECT round(sum(abs(s - y)) / sum(n), 6) AS ece, round(sum(e) / sum(n), 6) AS brier FROM b")
+def calibration(spark, d):
+    return metrics.calibration(V.scored(spark, d))
+
+
+@query(_S + " SELECT count(*) AS pairs, sum(label)::BIGINT AS pos, (count(*) - sum(label))::BIGINT AS neg, round(sum(label) / greatest(count(*), 1), 4) AS pos_rate, round((count(*) - sum(label)) / greatest(sum(label), 1), 2) AS neg_per_pos FROM scored")
+def class_balance(spark, d):
+    return metrics.class_balance(V.scored(spark, d))
+
+
+@query(_S + " SELECT ckey, round(avg(score), 6) AS mean_score FROM scored GROUP BY ckey")
+def mean_score_by_country(spark, d):
+    return metrics.mean_by_country(V.scored(spark, d))
+
+
+@query(
+    _T
+    + f""", per AS (SELECT t.q, n_true, coalesce(sum((score >= 0.1)::INT), 0) AS n, coalesce(sum(CASE WHEN score >= 0.1 THEN label END), 0) AS tp, coalesce(sum(label), 0) AS have FROM truth t LEFT JOIN scored s ON t.q = s.q GROUP BY t.q, n_true)
+SELECT round(avg({_F05}), 4) AS macro_f05, round(avg(CASE WHEN n_true = 0 THEN 1.0 WHEN have = 0 THEN 0.0 ELSE 1.25 * (have / n_true) / (0.25 + have / n_true) END), 4) AS oracle_macro_f05, round(avg((n_true = 0)::INT), 4) AS all_empty_macro_f05, round(sum(have) / greatest(sum(n_true), 1), 4) AS recall_ceiling FROM per"""
+)
+def val_report(spark, d):
+    return metrics.validation_report(V.scored(spark, d), V.truth(spark, d), 0.1)
+
+
+@query(
+    """WITH n AS (SELECT len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n FROM documents)
+SELECT round(quantile_cont(n, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(n, 0.9), 6)::DOUBLE AS p90, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95, round(quantile_cont(n, 0.99), 6)::DOUBLE AS p99, round(quantile_cont(n, 0.995), 6)::DOUBLE AS p99_5, round(quantile_cont(n, 0.999), 6)::DOUBLE AS p99_9, max(n) AS longest, round(avg(n), 4) AS mean FROM n"""
+)
+def length_percentiles(spark, d):
+    return metrics.length_percentiles(V.table(spark, d, "documents"), "text")
+
+
+_NORM = """, o AS (SELECT *, least(greatest(score, 0.000001), 0.999999) AS c FROM scored), z AS (SELECT *, c / (1 - c) AS odds, 1 + sum(c / (1 - c)) OVER (PARTITION BY q) AS total FROM o),
+sc AS (SELECT q, p, label, score AS raw_score, round(odds / total, 6) AS normalized_score, round(1 / total, 6) AS no_match_score FROM z),
+rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY raw_score DESC, p) AS rank_raw_score, row_number() OVER (PARTITION BY q ORDER BY normalized_score DESC, raw_score DESC, p) AS rank_normalized_score FROM sc)"""
+
+
+def _decided(spark, d):
+    n = decision.normalized_scores(V.scored(spark, d), "score")
+    return n.select("q", "p", "label", F.col("score").alias("raw_score"), F.round("normalized_score", 6).alias("normalized_score"), F.round("no_match_score", 6).alias("no_match_score"))
+
+
+@query(_S + _NORM + " SELECT q, p, normalized_score, no_match_score FROM sc")
+def normalized_scores(spark, d):
+    return _decided(spark, d).select("q", "p", "normalized_score", "no_match_score")
+
+
+_GRID = _T + _NORM + f""", long AS (SELECT q, label, 'raw_score' AS score_column, raw_score AS s, rank_raw_score AS r FROM rk UNION ALL SELECT q, label, 'normalized_score', normalized_score, rank_normalized_score FROM rk),
+rules AS (SELECT c.score_column, m.max_matches, t.threshold FROM (VALUES ('raw_score'), ('normalized_score')) c(score_column), (VALUES (1), (2), (3), (0)) m(max_matches), (VALUES {", ".join(f"({t!r}::DOUBLE)" for t in decision.THRESHOLDS)}) t(threshold)),
+per AS (SELECT l.score_column, max_matches, threshold, l.q, n_true, count(*) AS n, sum(label) AS tp FROM long l JOIN rules r ON l.score_column = r.score_column AND l.s >= r.threshold AND (r.max_matches = 0 OR l.r <= r.max_matches) JOIN truth t ON l.q = t.q GROUP BY ALL),
+got AS (SELECT score_column, max_matches, threshold, sum({_F05}) AS f, sum((n_true = 0)::INT) AS taken FROM per GROUP BY ALL),
+grid AS (SELECT r.*, round((coalesce(f, 0) + (SELECT sum((n_true = 0)::INT) FROM truth) - coalesce(taken, 0)) / (SELECT count(*) FROM truth), 5) AS macro_f05 FROM rules r LEFT JOIN got USING (score_column, max_matches, threshold))"""
+
+
+@query(_GRID + " SELECT * FROM grid")
+def decision_grid(spark, d):
+    return decision.grid(decision.with_ranks(_decided(spark, d)), V.truth(spark, d))
+
+
+@query(_GRID + " SELECT * FROM grid ORDER BY macro_f05 DESC, threshold DESC, CASE WHEN max_matches = 0 THEN 1000000 ELSE max_matches END, score_column DESC LIMIT 1")
+def best_decision(spark, d):
+    return decision.best_rule(decision_grid(spark, d))
+
+
+_RULE = ("raw_score", 0.12, 2)
+
+
+def _applied(spark, d):
+    return decision.apply_rule(decision.with_ranks(_decided(spark, d)), *_RULE)
+
+
+@query(_T + _NORM + f", k AS (SELECT * FROM rk WHERE raw_score >= 0.12 AND rank_raw_score <= 2), per AS (SELECT t.q, n_true, count(k.q) AS n, coalesce(sum(k.label), 0) AS tp FROM truth t LEFT JOIN k ON t.q = k.q GROUP BY ALL) SELECT round(avg({_F05}), 5) AS macro_f05 FROM per")
+def apply_decision(spark, d):
+    return metrics.macro_f05(_applied(spark, d), V.truth(spark, d))
+
+
+@query(_S + _NORM + " SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(k.p, ',' ORDER BY rank_raw_score), '') AS matched_entity_ids FROM entities e LEFT JOIN (SELECT * FROM rk WHERE raw_score >= 0.12 AND rank_raw_score <= 2) k ON e.entity_id = k.q WHERE e.source = 'S1' GROUP BY 1")
+def match_lists(spark, d):
+    return decision.match_lists(V.entities(spark, d).where("source = 'S1'"), _applied(spark, d), "raw_score")
+
+
+# ---- samples and splits
+
+_HASH = "('0x' || substr(md5({c} || '|{seed}'), 1, 8))::BIGINT"
+
+
+@query(
+    _T
+    + f""", s AS (SELECT e.entity_id, e.country, n_true = 0 AS single, {_HASH.format(c="e.entity_id", seed=42)} AS h FROM entities e JOIN truth t ON e.entity_id = t.q WHERE e.source = 'S1'),
+r AS (SELECT *, row_number() OVER (PARTITION BY country, single ORDER BY h, entity_id) AS k, count(*) OVER (PARTITION BY country, single) AS size, least(1.0, 100.0 / (SELECT count(*) FROM s)) AS frac FROM s)
+SELECT entity_id, country, single FROM r WHERE k <= round(frac * size)"""
+)
+def stratified_sample(spark, d):
+    s1 = V.entities(spark, d).where("source = 'S1'").select("entity_id", "country")
+    return sampling.stratified(s1, V.truth(spark, d), 100)
+
+
+@query(
+    _S
+    + f""", pool AS (SELECT entity_id, source FROM entities WHERE source <> 'S1'), matched AS (SELECT DISTINCT p FROM scored WHERE label = 1), wanted AS (SELECT DISTINCT p FROM scored WHERE label = 1 AND score >= 0.1),
+free AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_HASH.format(c="entity_id", seed=42)}, entity_id) AS k FROM pool WHERE entity_id NOT IN (SELECT p FROM matched))
+SELECT entity_id, source FROM pool WHERE entity_id IN (SELECT p FROM wanted) UNION SELECT entity_id, source FROM free WHERE k <= 50"""
+)
+def subsample_pool(spark, d):
+    s = V.scored(spark, d).where("label = 1")
+    pool = V.entities(spark, d).where("source <> 'S1'").select("entity_id", "source")
+    return sampling.subsample_pool(pool, s.where("score >= 0.1").select(F.col("p").alias("entity_id")), s.select(F.col("p").alias("entity_id")), 50)
+
+
+@query(f"WITH {V.PAIRS} SELECT q, p, {_HASH.format(c='q', seed=0)} < {int(0.15 * (1 << 32))} AS held_out, ({_HASH.format(c='q', seed=1)} % 5)::INT AS fold FROM pairs")
+def grouped_split(spark, d):
+    return sampling.grouped_split(V.pairs(spark, d).select("q", "p"), "q", 0.15).withColumn("fold", sampling.fold(F.col("q"), 5))
+
+
+# ---- learned scores
+
+_SOME = ["sparse_score", "name_lev", "name_jacc", "name_tset", "name_lcsub", "addr_lev", "addr_jacc", "full_tfidf_cos", "name_tfidf_cos", "grp_rank_tfidf", "grp_gap_tfidf", "cand_n_s1"]
+
+
+@query()
+def gbt_score(spark, d):
+    x = _featured(spark, d).cache()
+    model = scorer.fit_trees(x, _SOME, rounds=5)
+    return scorer.score(x, model, _SOME).select("q", "p", "label", "score")
+
+
+@query()
+def oof_scores(spark, d):
+    x = _featured(spark, d).cache()
+    return scorer.out_of_fold(x, _SOME, folds=2, rounds=5).select("q", "p", "label", "score")
+
+
+@query()
+def platt(spark, d):
+    x = _featured(spark, d).cache()
+    z = scorer.second_logit(x, scorer.fit_second(x, _SOME), _SOME)
+    a, b = scorer.fit_platt(z)
+    return z.select("q", "p", "label", decision.sigmoid(a * F.col("raw_logit") + b).alias("score"))
+
+
+@query()
+def feature_importance(spark, d):
+    model = scorer.fit_trees(_featured(spark, d), _SOME, rounds=5)
+    rows = spark.createDataFrame(scorer.importance(model, _SOME), "feature string, gain double")
+    return metrics.importance_by_group(rows, features.FEATURE_GROUPS)
