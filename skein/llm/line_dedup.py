@@ -144,6 +144,7 @@ def shared_keys(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, bro
 def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, keep_first: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs with text without the lines of shared keys, and n_lines (before), n_dropped. keep_first: a key's first line of all stays."""
     spark = docs.sparkSession
+    docs = docs.drop("n_lines", "n_dropped")  # columns of these names give way to the result's
     shared = checkpoint(shared_keys(docs, least_docs, least_chars, broadcast_bytes))
     size = shared.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
     schema = docs.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import running_sums
 from .tokens import word_cache
 
-WINDOW, LEAST, MOST, MEAN_BITS = 4, 64, 2048, 8
+WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 2048, 8
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, root binary, part int"
 _RAW = "doc_id long, n_tokens long, digests array<binary>, digest binary, n long, payload binary, slot int"
@@ -44,10 +44,12 @@ def cuts(ids: np.ndarray) -> list[int]:
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER)
         mixed ^= mixed >> np.uint64(29)
-        roll = np.zeros(n, np.uint64)
-        for back in range(WINDOW):
-            roll[back:] += mixed[: n - back] * np.uint64(pow(_MULTIPLIER, back + 1, 1 << 64))
-        roll *= np.uint64(_MULTIPLIER)
+        roll, span = mixed, 1
+        while span < WINDOW:  # the hash of twice as many ids: theirs, and that of as many before, one power further
+            before, roll = roll, roll.copy()
+            roll[span:] += before[:-span] * np.uint64(pow(_MULTIPLIER, span, 1 << 64))
+            span *= 2
+        roll = roll * np.uint64(_MULTIPLIER)
     marks = np.flatnonzero(roll >> np.uint64(64 - MEAN_BITS) == 0) + 1
     ends, last = [], 0
     for m in [*marks.tolist(), n]:

@@ -101,10 +101,14 @@ class LabelModel:
         for _ in range(rounds):
             self.log = self._table(v, q)
             self.shared = self._shared(v, q)
+            first = (self.log, self.shared) if not _ else first
             new = self.posterior(v)
             if n == 0 or np.abs(new - q).max() < 1e-6:
                 break
             q = new
+        some = v.max(axis=1) > 0 if n else np.zeros(0, bool)
+        if some.any() and (self.posterior(v)[some] < 0.5).all():
+            self.log, self.shared = first  # too few votes to learn from: what the majority vote says
 
     @staticmethod
     def _table(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -249,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", take=None, lim
     known[:, -1] = (10, 100, 1000, 10, 100, 1000, 10, 100)
     known[3:, Lexicon.GROUPS] = (1, 2, 20, 2, 10)
     known[3:, -2] = (1, 1, 5, 2, 4)
-    counts = np.concatenate([counts, known])
+    counts = np.concatenate([counts, np.repeat(known, 8, axis=0)])
     v = votes(counts)
     posterior = LabelModel(v, prior).posterior(v)
     return Model(words, beginnings, linear(inputs(counts), posterior))
