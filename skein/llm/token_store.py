@@ -2,8 +2,9 @@
 
 Format of a store, all Parquet but for the manifest:
 
-* chunks: digest (BLAKE2b of the content, 20 bytes), n (ids), payload (zstandard of the ids; two bytes each where all are below
-  65,536, else four; little-endian). Every distinct chunk is there once.
+* chunks: digest (BLAKE2b of the content, 20 bytes), n (ids), payload (a byte that says how many bytes an id has, then the ids,
+  little-endian: two bytes each where all are below 65,536, else four; the column is compressed with zstandard). Every distinct chunk is
+  there once.
 * recipes, in ascending doc_id order: doc_id, start (ids of all documents before), n_tokens, digests (of its chunks, in order), root
   (the Merkle root of these digests).
 * manifest: one JSON line; for every recipe partition its number of documents, of ids, and the Merkle root of its documents' roots;
@@ -70,24 +71,12 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _packer():
-    """A function that packs ids."""
-    import zstandard
+def _pack(ids: np.ndarray) -> bytes:
+    return b"\2" + ids.astype("<u2").tobytes() if len(ids) == 0 or ids.max() < 1 << 16 else b"\4" + ids.tobytes()
 
-    compress = zstandard.ZstdCompressor(level=1).compress
 
-    def pack(ids: np.ndarray) -> bytes:
-        small = len(ids) == 0 or ids.max() < 1 << 16
-        return (b"\2" if small else b"\4") + compress(ids.astype("<u2" if small else "<u4").tobytes())
-
-    return pack
-
-
-def _unpacker():
-    import zstandard
-
-    decompress = zstandard.ZstdDecompressor().decompress
-    return lambda payload: np.frombuffer(decompress(payload[1:]), "<u2" if payload[0] == 2 else "<u4").astype("<u4")
+def _unpack(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, "<u2" if payload[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
 def _digest(ids: bytes) -> bytes:
@@ -105,7 +94,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
     slots = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
 
     def encode(batches):
-        words, sent, pack = word_cache(tokenizer, kind), set(), _packer()
+        words, sent = word_cache(tokenizer, kind), set()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -122,7 +111,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
                             if len(sent) >= 1_000_000:
                                 sent.clear()
                             sent.add(d)
-                            rows.append((None, None, None, d, stop - last, pack(ids[last:stop]), int.from_bytes(d[:4], "little") % slots))
+                            rows.append((None, None, None, d, stop - last, _pack(ids[last:stop]), int.from_bytes(d[:4], "little") % slots))
                         last = stop
                     rows.append((doc_id, len(ids), digests, None, None, None, zlib.crc32(digests[0] + str(doc_id).encode()) % slots))
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.binary(), pa.int32())
@@ -140,7 +129,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
 
     dealt = docs.select("doc_id", "text").mapInArrow(encode, _RAW)
     dealt = dealt.repartition(max(1, slots // 4), "slot").sortWithinPartitions("slot", "digest").mapInArrow(once, _RAW)
-    dealt.drop("slot").withColumn("chunk", F.col("digest").isNotNull()).write.partitionBy("chunk").option("compression", "none").parquet(f"{path}/encoded")
+    dealt.drop("slot").withColumn("chunk", F.col("digest").isNotNull()).write.partitionBy("chunk").option("compression", "zstd").parquet(f"{path}/encoded")
 
     raw = spark.read.schema("doc_id long, n_tokens long, digests array<binary>, chunk boolean").parquet(f"{path}/encoded")
     recipes = running_sums(raw.where(~F.col("chunk")).drop("chunk"), [F.col("doc_id").asc_nulls_first(), F.col("digests")], "n_tokens", "start")
@@ -177,10 +166,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(digest, n, crc, ids binary) of every chunk, each checked against its digest."""
 
     def check(batches):
-        unpack = _unpacker()
         for b in batches:
             digests, payloads = b.column("digest").to_pylist(), b.column("payload").to_pylist()
-            raws = [unpack(p).tobytes() for p in payloads]
+            raws = [_unpack(p).tobytes() for p in payloads]
             if any(_digest(r) != d for r, d in zip(raws, digests)):
                 raise ValueError(f"{path}: a chunk does not match its digest")
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([zlib.crc32(r) for r in raws], pa.int64()), pa.array(raws, pa.binary())], names=["digest", "n", "crc", "ids"])
@@ -215,28 +203,35 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return parts.join(read_chunks(spark, path), "digest").groupBy("start").applyInPandas(join, "doc_id long, start long, ids array<long>")
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo that of CRC-32, bits in reverse as CRC-32 has them."""
-    out = 0
-    for _ in range(32):
-        if a & 0x80000000:
-            out ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
+def _times(a, b):
+    """Product of two polynomials modulo that of CRC-32, bits in reverse as CRC-32 has them; of numbers or of arrays of them."""
+    a, b = np.asarray(a, np.uint32), np.asarray(b, np.uint32)
+    out = np.zeros(np.broadcast(a, b).shape, np.uint32)
+    for bit in range(31, -1, -1):
+        out ^= b * (a >> np.uint32(bit) & np.uint32(1))
+        b = (b >> np.uint32(1)) ^ np.uint32(0xEDB88320) * (b & np.uint32(1))
     return out
 
 
-def _shift(n_bytes: int, known: dict[int, int]) -> int:
+def _shift(n_bytes: np.ndarray) -> np.ndarray:
     """x to the power 8 * n_bytes."""
-    if n_bytes not in known:
-        out, square, left = 0x80000000, 0x00800000, n_bytes  # 1 and x^8
-        while left:
-            if left & 1:
-                out = _times(out, square)
-            square = _times(square, square)
-            left >>= 1
-        known[n_bytes] = out
-    return known[n_bytes]
+    sizes, at = np.unique(n_bytes, return_inverse=True)
+    out, square, left = np.full(len(sizes), 0x80000000, np.uint32), np.uint32(0x00800000), sizes.copy()  # 1 and x^8
+    while left.any():
+        out = np.where(left & 1, _times(out, square), out).astype(np.uint32)
+        square, left = _times(square, square), left >> 1
+    return out[at]
+
+
+def combined(crcs: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """CRC-32 of each run of parts in a row, from the parts' own; sizes: their bytes, counts: parts of each run."""
+    powers, firsts = _shift(sizes), np.cumsum(counts) - counts
+    out = np.zeros(len(counts), np.uint32)
+    for k in range(int(counts.max(initial=0))):
+        on = counts > k
+        at = firsts[on] + k
+        out[on] = _times(powers[at], out[on]) ^ crcs[at].astype(np.uint32)
+    return out
 
 
 def digests_of_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -248,20 +243,19 @@ def digests_of_documents(spark: SparkSession, path: str) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
     def combine(batches):
-        known: dict[int, int] = {}
         for b in batches:
-            t = b.to_pydict()
-            crcs, sizes = [], []
-            for parts, root in zip(t["parts"], t["root"]):
-                parts = sorted(parts, key=lambda p: p["pos"])
-                if merkle([p["digest"] for p in parts]) != root:
+            parts = b.column("parts")
+            counts, flat = np.diff(parts.offsets.to_numpy()), parts.flatten()
+            pos, n, crc = (flat.field(c).to_numpy() for c in ("pos", "n", "crc"))
+            order = np.lexsort((pos, np.repeat(np.arange(len(counts)), counts)))
+            digests = flat.field("digest").take(pa.array(order)).to_pylist()
+            ends = np.cumsum(counts).tolist()
+            for end, size, root in zip(ends, counts.tolist(), b.column("root").to_pylist()):
+                if merkle(digests[end - size : end]) != root:
                     raise ValueError(f"{path}: a document does not match its root")
-                crc = 0
-                for p in parts:
-                    crc = _times(_shift(4 * p["n"], known), crc) ^ p["crc"]
-                crcs.append(crc)
-                sizes.append(sum(p["n"] for p in parts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            sizes = np.add.reduceat(n[order], np.array(ends) - counts) if len(counts) else np.zeros(0, np.int64)
+            crcs = combined(crc[order], 4 * n[order], counts)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(sizes, pa.int64()), pa.array(crcs.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     known = read_chunks(spark, path).select("digest", "n", "crc")
     parts = read_recipes(spark, path).select("doc_id", "start", "root", F.posexplode("digests").alias("pos", "digest")).join(known, "digest")

@@ -21,6 +21,9 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 #: White space to str.split, but not to the library.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: White space other than one space or line feed between words, in ASCII texts and in all.
+_ASCII_ODD = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+_ODD = [*_ASCII_ODD, *map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 _LATIN = re.compile("[\\x00-\xff]*$")
 _HELD: dict[tuple[str, str], WordCache] = {}
 
@@ -41,7 +44,7 @@ class _Tails(dict):
 class WordCache(dict):
     """ids(texts): for each text its ids as little-endian unsigned 32-bit integers. kind: "byte" or "word", as the vocabulary."""
 
-    def __init__(self, path: str, kind: str, limit: int = 500_000):
+    def __init__(self, path: str, kind: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         self._limit, self._older, self._byte = limit // 2, {}, kind == "byte"
@@ -76,18 +79,16 @@ class WordCache(dict):
         return ids
 
     def _text(self, text: str) -> bytes:
-        words = text.split()
-        if not words:
-            return self._whole(text)
         if self._byte:
             # only texts with single spaces and line feeds between words, and none at the ends, are cut here
-            if len(" ".join(words)) != len(text) or text.count(" ") + text.count("\n") != len(words) - 1:
+            odd = _ASCII_ODD if text.isascii() else _ODD
+            if not text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in odd):
                 return self._whole(text)
             first, *words = text.replace("\n", " \n").split(" ")
             return self._whole(first) + b"".join(map(self.__getitem__, words))
         if any(c in text for c in _NOT_SPACE):
             return self._whole(text)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split()))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out = []
