@@ -76,6 +76,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of at most rows rows, so that what Python makes of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % parts

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, STRIP, checkpoint, importable
+from .common import LOWER_ASCII, STRIP, checkpoint, importable, slices
 
 _STRIP = STRIP.encode()
 ONCE_BITS, TWICE_BITS, PER_BLOCK = 1 << 22, 1 << 19, 1 << 18
@@ -56,10 +56,10 @@ def twice_seen(docs: DataFrame, least_chars: int = 1) -> tuple[DataFrame, int]:
 
     def send(batches):
         held, n = [], 0
-        for b in batches:
+        for b in slices(batches):
             held.append(_hashes(b.column(0).to_pylist(), least_chars))
             n += len(held[-1])
-            if n > 500_000:
+            if n > 200_000:
                 yield from shares(np.concatenate(held))
                 held, n = [], 0
         if n:
@@ -114,7 +114,7 @@ def shared_keys(docs: DataFrame, least_docs: int = 10, least_chars: int = 1, bro
         bits = np.zeros((blocks, TWICE_BITS // 8), np.uint8)
         for block, x in (sure.value if sure else {}).items():
             bits[block] = np.frombuffer(x, np.uint8)
-        for b in batches:
+        for b in slices(batches):
             ids, keys, places = [], [], []
             for at, t in enumerate(b.column(1).to_pylist()):
                 first: dict[bytes, int] = {}
@@ -169,7 +169,7 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
         held = spark.sparkContext.broadcast({bytes(r["key"]): (r["first_id"], r["first_line"]) for r in shared.toLocalIterator()})
 
         def drop(batches):
-            for b in batches:
+            for b in slices(batches):
                 yield apply(b, [held.value] * b.num_rows)
 
         return docs.mapInArrow(drop, schema)
@@ -177,7 +177,7 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
 
     def keyed(batches):
-        for b in batches:
+        for b in slices(batches):
             pairs = [(r, k) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in set(keys_of(t)) if k]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], names=["__row", "key"])
 
@@ -185,7 +185,7 @@ def drop_shared_lines(docs: DataFrame, least_docs: int = 10, least_chars: int =
     hits = hits.groupBy("__row").agg(F.collect_list(F.struct("key", "first_id", "first_line")).alias("__drop"))
 
     def drop_joined(batches):
-        for b in batches:
+        for b in slices(batches):
             yield apply(b, [{k["key"]: (k["first_id"], k["first_line"]) for k in d or []} for d in b.column(len(schema) - 2).to_pylist()])
 
     return numbered.join(hits, "__row", "left").select(*docs.columns, "__drop").mapInArrow(drop_joined, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable
+from .common import importable, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, threshold: float = 0.9) -> Model:
         from collections import Counter
 
         held: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 if t:
                     base = base_spans(t)
@@ -216,7 +216,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(1).to_pylist():
                 base = base_spans(t) if t else []

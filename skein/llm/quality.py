@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, labelled_texts
+from .common import importable, labelled_texts, slices
 
 BUCKETS, SIZES = 1 << 16, (3, 4, 5)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", take=None, l
     importable(docs.sparkSession)
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [np.unique(features(t), return_counts=True) for t in b.column(1).to_pylist()]
             cols = [pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "y", "buckets", "counts"])
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = Model(*held.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -142,7 +142,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
 
     def run(batches):
         own = Model(*held.value)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([own.score(t) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, checkpoint
+from .common import LOWER_ASCII, checkpoint, slices
 from .components import components
 
 REACH = 4
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
     def mark(batches):
-        for b in batches:
+        for b in slices(batches):
             found = np.array([fingerprint(t, size, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["doc_id", "fp"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, importable, labelled_texts
+from .common import checkpoint, importable, labelled_texts, slices
 
 #: A short list of English insults.
 INSULTS = "asshole bastard bitch bullshit clown crap cretin cunt degenerate disgusting dumbass fag faggot filth freak fuck fucker fucking garbage hate idiot idiotic imbecile jerk loser maggot moron moronic motherfucker nigger pathetic pig prick psycho rapist retard retarded scum scumbag shit shitty slut stupid subhuman trash twat vermin whore worthless".split()
@@ -182,7 +182,7 @@ def mine(sample: DataFrame, least: int = 4, alpha: float = 1.0, most: int = 50_0
     def sketch(batches):
         from xxhash import xxh3_64_intdigest
 
-        for b in batches:
+        for b in slices(batches):
             marks = []
             for t in b.column(0).to_pylist():
                 w = words_of(t)
@@ -192,7 +192,7 @@ def mine(sample: DataFrame, least: int = 4, alpha: float = 1.0, most: int = 50_0
 
     def count(batches):
         held = (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held[int(y > 0)].update(_terms(t))
                 if len(held[0]) + len(held[1]) > 400_000:
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", take=None, lim
 
     def count(batches):
         lexicon = Lexicon(words, beginnings)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([lexicon.counts(t).tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "y", "counts"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = Model(*held.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.scores(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
