@@ -226,9 +226,9 @@ def tfidf_idf(spark, d):
     return _idf(V.records(spark, d), "sparse_text")[1].select("ckey", "gram", "df", "n_docs", F.round("idf", 9).alias("idf"))
 
 
-@query(_sql(_PRUNED, "sparse_text") + " SELECT source, entity_id, gram, round(w, 6) AS w FROM v")
+@query(_sql(_PRUNED, "sparse_text") + " SELECT source, entity_id, gram, w FROM v")
 def tfidf_topfeatures(spark, d):
-    return tfidf.prune(_vectors(spark, d), ["source", "entity_id"]).select("source", "entity_id", "gram", F.round("w", 6).alias("w"))
+    return tfidf.prune(_vectors(spark, d), ["source", "entity_id"]).select("source", "entity_id", "gram", "w")
 
 
 @query(_sql(_CAPPED, "sparse_text") + " SELECT ckey, source, gram, count(*) AS n FROM pool GROUP BY ALL")
