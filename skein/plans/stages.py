@@ -102,7 +102,9 @@ def train(spark: SparkSession, feats: DataFrame, truth: str, model: str, filtere
     """Fits the first scorer on feats, saves it with its settings, and writes the filtered lists of out-of-fold scores, if asked for."""
     columns = columns or features.FEATURES
     true, sizes = _truth(spark, truth)
-    d = _labelled(feats, true).cache()
+    # features are computed once, into a table, and every fit reads that
+    _labelled(feats, true).write.mode("overwrite").parquet(f"{model}/features")
+    d = spark.read.parquet(f"{model}/features").cache()
     fitted = scorer.fit_trees(d, columns, **how)
     fitted.write().overwrite().save(f"{model}/trees")
     files.write_json(spark, {"features": columns, "top_k": top_k, "floor": floor, "no_match": no_match, "importance": scorer.importance(fitted, columns)}, f"{model}/meta")
@@ -117,7 +119,8 @@ def train(spark: SparkSession, feats: DataFrame, truth: str, model: str, filtere
 def predict(spark: SparkSession, feats: DataFrame, model: str, queries: DataFrame, output: str) -> None:
     """Filtered lists by a stored model and its settings."""
     meta = files.read_json(spark, f"{model}/meta")
-    scored = scorer.score(feats, PipelineModel.load(f"{model}/trees"), meta["features"])
+    feats.write.mode("overwrite").parquet(f"{output}-features")
+    scored = scorer.score(spark.read.parquet(f"{output}-features"), PipelineModel.load(f"{model}/trees"), meta["features"])
     files.write_tsv(filtering.filtered_lists(queries, filtering.keep_top(scored.select("q", "p", "score"), meta["top_k"], meta["floor"], meta["no_match"])), output)
 
 
