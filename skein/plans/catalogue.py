@@ -274,7 +274,7 @@ def dense_pair_cos(spark, d):
 
 @query()
 def dense_topk_cells(spark, d):
-    return dense.top_k_by_cells(V.dense_records(spark, d), 20, probes=8)
+    return dense.top_k_by_cells(V.dense_records(spark, d), 20)
 
 
 # ---- candidates and their recall

@@ -168,3 +168,26 @@ def test_entry_points():
     import __spark_entry__ as E
 
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def neighbours_of(df):
+    return {(r.q, r.source, r.p, r.score) for r in df.collect()}
+
+
+def test_dense_topk_cells_is_whole(spark):
+    from skein.plans import catalogue
+
+    d = "/root/testdata/sf0.1"
+    want, got = neighbours_of(catalogue.dense_topk(spark, d)), neighbours_of(catalogue.dense_topk_cells(spark, d))
+    assert len({x[:3] for x in want} & {x[:3] for x in got}) >= 0.9 * len(want)
+
+
+def test_cells_beyond_the_probes(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((900, 8)) * rng.uniform(0.5, 2, (900, 1))
+    x[::50] = x[0]
+    rows = [(f"S{i % 3 + 1}-{i:06d}", f"S{i % 3 + 1}", "ab"[i % 7 == 0], [float(np.float32(v)) for v in x[i]]) for i in range(900)]
+    df = spark.createDataFrame(rows, "entity_id string, source string, ckey string, embedding array<float>")
+    want = neighbours_of(dense.top_k(df, 10))
+    assert neighbours_of(dense.top_k_by_cells(df, 10, n=12, probes=2, block=20, query_block=64)) == want
+    assert dense.top_k_by_cells(df.where("source = 'S1'"), 10).count() == 0
