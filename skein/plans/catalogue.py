@@ -268,7 +268,7 @@ def dense_topk(spark, d):
 SELECT q, p, round({_DOT}, 6) AS cos FROM dp LEFT JOIN dense a ON a.entity_id = q LEFT JOIN dense b ON b.entity_id = p""")
 def dense_pair_cos(spark, d):
     r = V.dense_records(spark, d)
-    p = F.concat(F.lit("S2-"), F.lpad((F.substring("entity_id", 4, 20).cast("long") + 1).cast("string"), 6, "0"))
+    p = F.concat(F.lit("S2-"), V.padded(F.substring("entity_id", 4, 20).cast("long") + 1))
     return dense.pair_cosine(r.where("source = 'S1'").select(F.col("entity_id").alias("q"), p.alias("p")), "q", "p", r, "cos").select("q", "p", "cos")
 
 

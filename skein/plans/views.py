@@ -21,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def padded(k):
+    """At least six digits: lpad to a fixed length would also shorten."""
+    digits = k.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0"))
+
+
 def entity_id(key: str):
     k = F.col(key)
-    return F.concat(F.lit("S"), (k % 3 + 1).cast("string"), F.lit("-"), F.lpad(k.cast("string"), 6, "0"))
+    return F.concat(F.lit("S"), (k % 3 + 1).cast("string"), F.lit("-"), padded(k))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

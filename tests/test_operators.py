@@ -191,3 +191,15 @@ def test_cells_beyond_the_probes(spark):
     want = neighbours_of(dense.top_k(df, 10))
     assert neighbours_of(dense.top_k_by_cells(df, 10, n=12, probes=2, block=20, query_block=64)) == want
     assert dense.top_k_by_cells(df.where("source = 'S1'"), 10).count() == 0
+
+
+def test_ids_above_a_million(spark, tmp_path):
+    from skein.plans import catalogue, views
+
+    ids = [7, 123456, 999999, 1234566, 1234567, 1234568, 12345678]
+    e = spark.createDataFrame([(i, [1.0, float(i % 5)], 0) for i in ids], "vec_id long, embedding array<float>, label int")
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [r.entity_id for r in e.select(views.entity_id("vec_id").alias("entity_id")).collect()]
+    assert got == [f"S{i % 3 + 1}-{i:06d}" for i in ids]
+    pairs = {(r.q, r.p): r.cos for r in catalogue.dense_pair_cos(spark, str(tmp_path)).collect()}
+    assert pairs["S1-1234566", "S2-1234567"] == 1 * 1 + 1 * 2 and pairs["S1-999999", "S2-1000000"] is None and len(pairs) == 4
