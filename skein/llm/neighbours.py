@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by collision counting (operator 7).
 
 Largest inner product is made nearest distance by one more coordinate: sqrt(M^2 - |x|^2) with M the largest norm for a vector, 0 for a
-query, which is scaled to norm M. Each of `projections` random lines gives every vector of a block a position, and the block keeps the
+query, which is scaled to norm M. A block is cut into ranges of norm, each searched by itself with its own M: norms that differ much would
+flatten all distances. Each of `projections` random lines gives every vector of a range a position, and the range keeps the
 vectors in the order of each line. Around its own position on each line a query opens a window of width 2 * reach; a vector that lies in
-at least `collisions` windows is verified with its exact inner product. While fewer than the share `enough` of the block qualify (and fewer
+at least `collisions` windows is verified with its exact inner product. While fewer than the share `enough` of the range qualify (and fewer
 than `least` or 4 * k vectors), the windows widen by `growth` (virtual rehashing: the same sorted arrays serve every radius), until they
-hold the whole block. The share is high because vectors without any structure, whose distances hardly differ, need it for nine tenths of
+hold the whole range. The share is high because vectors without any structure, whose distances hardly differ, need it for nine tenths of
 recall.
 
 Vectors come in blocks of about `block` rows and queries in blocks of `query_block`; each pair of blocks is one task's work and memory, and
@@ -27,7 +28,7 @@ from .common import checkpoint, importable
 
 
 class Block:
-    """Sorted projections of a block of vectors (rows of x, double precision)."""
+    """Sorted projections of a block of vectors (rows of x, double precision), none longer than norm."""
 
     def __init__(self, x: np.ndarray, norm: float, projections: int, seed: int):
         self.x, self.norm = x, norm
@@ -41,6 +42,9 @@ class Block:
     def candidates(self, queries: np.ndarray, reach: float, growth: float, collisions: int, enough: int):
         """For each query the rows that collide often enough. Widening a window only counts what is new at its two ends."""
         n = len(self.x)
+        if n <= enough:
+            yield from ((q, np.arange(n)) for q in range(len(queries)))
+            return
         scaled = queries * (self.norm / np.sqrt((queries * queries).sum(axis=1)))[:, None]
         at = scaled @ self.lines[:, :-1].T
         width, todo = reach * self.norm, np.arange(len(queries))
@@ -67,7 +71,14 @@ class Block:
             todo, width = np.array(left, np.int64), width * growth
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 48, collisions: int = 30, reach: float = 0.8, growth: float = 1.12, enough: float = 0.25, least: int = 1500, block: int = 8192, query_block: int = 4096, seed: int = 7) -> DataFrame:
+def ranges(x: np.ndarray, ratio: float) -> list[tuple[np.ndarray, float]]:
+    """(rows, largest norm) of ranges of norm: within each, no row is `ratio` times as long as another."""
+    norms = np.clip(np.sqrt((x * x).sum(axis=1)), 1e-150, 1e150)
+    step = np.floor(np.log(norms.max() / norms) / np.log(ratio))
+    return [(rows, float(norms[rows].max())) for rows in (np.flatnonzero(step == k) for k in np.unique(step))]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: int = 48, collisions: int = 30, reach: float = 0.8, growth: float = 1.12, enough: float = 0.25, least: int = 1500, block: int = 8192, query_block: int = 4096, seed: int = 7, ratio: float = 1.1) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of vectors (vec_id, embedding) to each of queries (same columns), by inner product."""
     spark = vectors.sparkSession
     importable(spark)
@@ -78,9 +89,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: in
         return df.select("vec_id", "embedding").where(fine).withColumn("dim", F.size("embedding"))
 
     v, q = usable(vectors), usable(queries)
-    size = v.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).first()
-    n_queries = q.count()
-    blocks, query_blocks, norm = max(1, -(-size["n"] // block)), max(1, -(-n_queries // query_block)), float(np.sqrt(size["m"] or 1.0))
+    blocks, query_blocks = (max(1, -(-df.count() // n)) for df, n in ((v, block), (q, query_block)))
     deal = lambda n: F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(n)).cast("int")
     # dealing twice gives the same blocks only from rows that stay as they are
     v = checkpoint(v.withColumn("block", deal(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
@@ -93,15 +102,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, projections: in
         if len(v) and len(q):
             x = np.stack(v["embedding"].to_numpy()).astype(np.float64)
             ids = v["vec_id"].to_numpy()
-            index = Block(x, norm, projections, seed)
             y = np.stack(q["embedding"].to_numpy()).astype(np.float64)
             own = q["vec_id"].to_numpy()
-            for i, rows in index.candidates(y, reach, growth, collisions, max(int(enough * len(x)), least, 4 * k)):
-                rows = rows[ids[rows] != own[i]]
-                score = x[rows] @ y[i]
-                if len(rows) > 8 * k:
-                    near = score >= np.partition(score, len(score) - k)[len(score) - k]
-                    rows, score = rows[near], score[near]
+            met = [[] for _ in own]
+            for at, norm in ranges(x, ratio):
+                index = Block(x[at], norm, projections, seed)
+                for i, rows in index.candidates(y, reach, growth, collisions, max(int(enough * len(at)), least, 4 * k)):
+                    rows = at[rows]
+                    rows = rows[ids[rows] != own[i]]
+                    score = x[rows] @ y[i]
+                    if len(rows) > 8 * k:
+                        near = score >= np.partition(score, len(score) - k)[len(score) - k]
+                        rows, score = rows[near], score[near]
+                    met[i].append((rows, score))
+            for i, parts in enumerate(met):
+                rows, score = (np.concatenate(c) for c in zip(*parts))
                 best = np.lexsort((ids[rows], -score))[:k]
                 out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[rows][best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

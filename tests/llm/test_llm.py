@@ -343,6 +343,29 @@ def test_neighbours_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one", "outlier", "uniform", "gaussian", "log-normal"])
+def test_neighbours_of_unequal_norms(spark, norms, tmp_path):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((20_000, 64))
+    if norms != "gaussian":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[777] *= 3
+    elif norms == "uniform":
+        x *= rng.uniform(0.5, 1.5, (len(x), 1))
+    elif norms == "log-normal":
+        x *= np.exp(0.3 * rng.standard_normal((len(x), 1)))
+    pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}).to_parquet(tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    found = rows(neighbours.nearest(df, df.where("vec_id % 200 = 0")))
+    met = []
+    for q, g in found.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        met.append(len(set(g.vec_id) & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert len(met) == 100 and np.mean(met) >= 0.9
+
+
 # ---- 8
 
 
