@@ -142,18 +142,18 @@ def tokens_and_numbers(spark, d):
 
 @query()
 def normalized_records(spark, d):
-    return records.normalized(V.entities(spark, d), need_dense=True)
+    return records.normalized(V.whole_entities(spark, d), need_dense=True)
 
 
 @query()
 def light_text(spark, d):
-    e = V.entities(spark, d)
+    e = V.whole_entities(spark, d)
     return e.select("entity_id", N.pair_text(F.col("business_name"), F.col("business_address"), F.col("country")).alias("text"))
 
 
 @query()
 def address_parts(spark, d):
-    return records.with_address_parts(V.entities(spark, d)).select("entity_id", "comps")
+    return records.with_address_parts(V.whole_entities(spark, d)).select("entity_id", "comps")
 
 
 # ---- n-grams and TF-IDF

@@ -40,6 +40,16 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entities() with the whole text in the two fields, its first line and the rest, for queries without SQL."""
+    line = F.substring_index("text", "\n", 1)
+    rest = F.substr("text", F.length(line) + 2)
+    return table(spark, sf_dir, "documents").select(
+        entity_id("doc_id").alias("entity_id"), F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string")).alias("source"),
+        line.alias("business_name"), rest.alias("business_address"), F.col("lang").alias("country"), "doc_id",
+    )
+
+
 ENTITIES = """entities AS (
   SELECT 'S' || (doc_id % 3 + 1) || '-' || lpad(doc_id::VARCHAR, 6, '0') AS entity_id, 'S' || (doc_id % 3 + 1) AS source,
          substr(text, 1, 64) AS business_name, substr(text, 65, 64) AS business_address, lang AS country, doc_id

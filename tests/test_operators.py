@@ -203,3 +203,16 @@ def test_ids_above_a_million(spark, tmp_path):
     assert got == [f"S{i % 3 + 1}-{i:06d}" for i in ids]
     pairs = {(r.q, r.p): r.cos for r in catalogue.dense_pair_cos(spark, str(tmp_path)).collect()}
     assert pairs["S1-1234566", "S2-1234567"] == 1 * 1 + 1 * 2 and pairs["S1-999999", "S2-1000000"] is None and len(pairs) == 4
+
+
+def test_records_hold_the_whole_text(spark, tmp_path):
+    from skein.plans import catalogue, views
+
+    long = "acme corp " * 20 + "zebra"
+    texts = [long, f"{long}\n12 oak street,\n{'north road ' * 20}, quagga", "", None]
+    spark.createDataFrame([(i, t, "us") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.business_name, r.business_address) for r in views.whole_entities(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(long, ""), tuple(texts[1].split("\n", 1)), ("", ""), (None, None)]
+    n, light, parts = ({r.entity_id: r for r in catalogue.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("normalized_records", "light_text", "address_parts"))
+    assert n["S1-000000"].name.endswith("zebra") and n["S2-000001"].name.endswith("zebra") and n["S2-000001"].addr.endswith("quagga")
+    assert "zebra" in light["S1-000000"].text and "quagga" in light["S2-000001"].text and parts["S2-000001"].comps[-1] == "quagga"
