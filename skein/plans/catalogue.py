@@ -393,6 +393,14 @@ def _pairs(spark, d):
     return V.pairs(spark, d).where("source = 'S2'")
 
 
+def _retrieved(spark, d):
+    """q, p, source, a_name, b_name of every candidate of both pools that the n-gram channels find, for queries without SQL."""
+    found = blocking.combine({"sparse": _channel(spark, d, "sparse_text", 20), "sparse_name": _channel(spark, d, "name_text", 10)})
+    name = V.entities(spark, d).select("entity_id", F.lower("business_name").alias("name"))
+    side = lambda key, out: name.select(F.col("entity_id").alias(key), F.col("name").alias(out))
+    return found.join(side("q", "a_name"), "q").join(side("p", "b_name"), "p")
+
+
 _P = f"WITH {V.PAIRS}, chosen AS (SELECT * FROM pairs WHERE source = 'S2')"
 
 
@@ -487,27 +495,27 @@ def lcsub(spark, d):
 
 @query()
 def indel_token_sort(spark, d):
-    return _pairs(spark, d).select("q", "p", F.round(S.token_sort(F.col("a_name"), F.col("b_name")), 6).alias("name_tsort"))
+    return _retrieved(spark, d).select("q", "p", F.round(S.token_sort(F.col("a_name"), F.col("b_name")), 6).alias("name_tsort"))
 
 
 @query()
 def token_set(spark, d):
-    return _pairs(spark, d).select("q", "p", F.round(S.token_set(F.col("a_name"), F.col("b_name")), 6).alias("name_tset"))
+    return _retrieved(spark, d).select("q", "p", F.round(S.token_set(F.col("a_name"), F.col("b_name")), 6).alias("name_tset"))
 
 
 @query()
 def partial_ratio(spark, d):
-    return _name_pairs(spark, d).select("q", "p", F.round(S.partial(F.col("a"), F.col("b")), 6).alias("name_partial"))
+    return _retrieved(spark, d).select("q", "p", F.round(S.partial(F.col("a_name"), F.col("b_name")), 6).alias("name_partial"))
 
 
 @query()
 def abbrev_sim(spark, d):
-    return _pairs(spark, d).select("q", "p", F.round(S.abbreviation(F.col("a_name"), F.col("b_name")), 6).alias("name_abbrev_sim"))
+    return _retrieved(spark, d).select("q", "p", F.round(S.abbreviation(F.col("a_name"), F.col("b_name")), 6).alias("name_abbrev_sim"))
 
 
 @query()
 def acronym(spark, d):
-    return _pairs(spark, d).select("q", "p", S.initialism(F.col("a_name"), F.col("b_name")).alias("acronym_match"))
+    return _retrieved(spark, d).select("q", "p", S.initialism(F.col("a_name"), F.col("b_name")).alias("acronym_match"))
 
 
 _COS = """, few AS (SELECT q, p, source, ckey AS part FROM pairs), coss AS (
@@ -574,9 +582,9 @@ def _featured(spark, d):
     for text in ("sparse_text", "name_text"):
         counts = tfidf.gram_counts(r, text, ["ckey", "source", "entity_id"])
         v[text] = tfidf.vectors(counts, tfidf.fit_idf(counts, r, ["ckey"]), ["ckey"], ["source", "entity_id"]).select(F.col("ckey").alias("part"), "entity_id", "gram", "w")
-    s = V.scored(spark, d).where("score > 0.08")
-    pairs = s.select("q", "p", "source", F.col("score").alias("sparse_score"), F.lit(1).alias("sparse_rank"))
-    return features.build(pairs, r.join(comps, "entity_id"), v["sparse_text"], v["name_text"]).join(s.select("q", "p", "label"), ["q", "p"])
+    s = V.labelled(_retrieved(spark, d)).cache()
+    pairs = s.drop("a_name", "b_name", "score", "label")
+    return features.build(pairs, r.join(comps, "entity_id"), v["sparse_text"], v["name_text"], V.dense_records(spark, d)).join(s.select("q", "p", "label"), ["q", "p"])
 
 
 @query()
@@ -838,14 +846,14 @@ _SOME = ["sparse_score", "name_lev", "name_jacc", "name_tset", "name_lcsub", "ad
 @query()
 def gbt_score(spark, d):
     x = _featured(spark, d).cache()
-    model = scorer.fit_trees(x, _SOME, rounds=5)
+    model = scorer.fit_trees(x, _SOME)
     return scorer.score(x, model, _SOME).select("q", "p", "label", "score")
 
 
 @query()
 def oof_scores(spark, d):
     x = _featured(spark, d).cache()
-    return scorer.out_of_fold(x, _SOME, folds=2, rounds=5).select("q", "p", "label", "score")
+    return scorer.out_of_fold(x, _SOME).select("q", "p", "label", "score")
 
 
 @query()
@@ -858,6 +866,6 @@ def platt(spark, d):
 
 @query()
 def feature_importance(spark, d):
-    model = scorer.fit_trees(_featured(spark, d), _SOME, rounds=5)
+    model = scorer.fit_trees(_featured(spark, d), _SOME)
     rows = spark.createDataFrame(scorer.importance(model, _SOME), "feature string, gain double")
     return metrics.importance_by_group(rows, features.FEATURE_GROUPS)

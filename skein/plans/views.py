@@ -94,11 +94,16 @@ def ascii_words(c):
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q, p, source, ckey, score, label: the Jaccard similarity of names' words, and a label drawn by hash, likelier the higher the score."""
+    """q, p, source, ckey, score, label of pairs()."""
+    return labelled(pairs(spark, sf_dir)).select("q", "p", "source", "ckey", "score", "label")
+
+
+def labelled(pairs: DataFrame) -> DataFrame:
+    """pairs with score and label: the Jaccard similarity of names' words, and a label drawn by hash, likelier the higher the score."""
     a, b = ascii_words(F.col("a_name")), ascii_words(F.col("b_name"))
-    d = pairs(spark, sf_dir).withColumn("score", F.round(F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0)), 6))
+    d = pairs.withColumn("score", F.round(F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0)), 6))
     draw = F.conv(F.substring(F.md5(F.concat("q", "p")), 1, 8), 16, 10).cast("long") % 1000
-    return d.select("q", "p", "source", "ckey", "score", (draw < F.floor(10 + 1500 * F.col("score"))).cast("int").alias("label"))
+    return d.withColumn("label", (draw < F.floor(10 + 1500 * F.col("score"))).cast("int"))
 
 
 SCORED = f"""{PAIRS}, worded AS (

@@ -216,3 +216,41 @@ def test_records_hold_the_whole_text(spark, tmp_path):
     n, light, parts = ({r.entity_id: r for r in catalogue.QUERIES[q](spark, str(tmp_path)).collect()} for q in ("normalized_records", "light_text", "address_parts"))
     assert n["S1-000000"].name.endswith("zebra") and n["S2-000001"].name.endswith("zebra") and n["S2-000001"].addr.endswith("quagga")
     assert "zebra" in light["S1-000000"].text and "quagga" in light["S2-000001"].text and parts["S2-000001"].comps[-1] == "quagga"
+
+
+def test_similarities_of_all_retrieved_pairs(spark, sf):
+    from skein.plans import catalogue
+
+    want = {(r.q, r.p) for c in (catalogue.sparse_topk, catalogue.sparse_name_topk) for r in c(spark, sf).collect()}
+    assert {p[:2] for _, p in want} == {"S2", "S3"}
+    for name in ("indel_token_sort", "token_set", "partial_ratio", "abbrev_sim", "acronym"):
+        got = [(r.q, r.p) for r in catalogue.QUERIES[name](spark, sf).select("q", "p").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_features_of_all_retrieved_pairs(spark, sf):
+    from skein.plans import catalogue, views
+
+    pairs = catalogue._retrieved(spark, sf)
+    want = {(r.q, r.p) for r in pairs.select("q", "p").collect()}
+    got = catalogue.pair_features(spark, sf).select("q", "p", "bge_m3_cos", "cand_is_s3", "sparse_name_rank").collect()
+    assert len(got) == len(want) and {(r.q, r.p) for r in got} == want
+    assert {r.cand_is_s3 for r in got} == {0.0, 1.0} and any(r.bge_m3_cos is not None for r in got) and any(r.sparse_name_rank for r in got)
+    assert views.labelled(pairs).where("score <= 0.08").count() > 0
+
+
+def test_learned_scores_take_the_operators_parameters(spark, sf, monkeypatch):
+    from skein.plans import catalogue
+
+    class Caught(Exception):
+        pass
+
+    def caught(*a, **how):
+        raise Caught(how)
+
+    monkeypatch.setattr(catalogue, "_featured", lambda spark, d: spark.range(1))
+    for name, fit in (("gbt_score", "fit_trees"), ("feature_importance", "fit_trees"), ("oof_scores", "out_of_fold")):
+        monkeypatch.setattr(catalogue.scorer, fit, caught)
+        with pytest.raises(Caught) as e:
+            catalogue.QUERIES[name](spark, sf)
+        assert e.value.args[0] == {}
