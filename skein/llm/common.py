@@ -9,7 +9,9 @@ import uuid
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,17 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+def portions(batches, column: int, size: int = 6 << 20):
+    """Arrow batches in parts of about size bytes of a string column; a longer text is a part of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % parts

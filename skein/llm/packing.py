@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, portions
 from .tokens import word_cache
 
 
@@ -30,18 +30,16 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "word", capacity: int =
 
     def cut(batches):
         words, end = word_cache(tokenizer, kind), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                rows = []
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    raw = (words.ids([text])[0] if text else b"") + end
-                    for k, a in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[a : a + 4 * capacity]
-                        rows.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-                kinds = [b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+        for b in portions(batches, 1):
+            rows = []
+            for doc_id, raw in zip(b.column(0).to_pylist(), words.ids(b.column(1).to_pylist())):
+                raw += end
+                for k, a in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[a : a + 4 * capacity]
+                    rows.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+            kinds = [b.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind_of_id}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

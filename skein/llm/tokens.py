@@ -3,28 +3,46 @@
 Both vocabularies cut a text into words before they merge anything, and no merge crosses such a cut. So a text's ids are its words'
 ids in a row, and a word that was met before need not be encoded again. The library's own cache holds 10,000 words; the corpora here
 have millions of rare ones. The cache has two generations, so that it forgets words that were not used lately and no others.
+
+Texts go through in parts: Arrow cuts a part into words and numbers the distinct ones, only these are looked up, and Arrow puts their ids
+in the order of the words. New words of letters go to the library's model many at a time. Whatever this could get wrong (strings of added
+tokens, odd white space, other scripts, digits) goes to the library as it is: the ids are those of Tokenizer.from_file(path).encode(text,
+add_special_tokens=False), also where a text spells an added token out, which the library then gives its own id.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 from array import array
+from pathlib import Path
 from string import punctuation
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Byte-level vocabularies write each byte as a character: printable ones as themselves, the rest in order from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+#: The same, but a line feed becomes the space at which words for the model are cut.
+_LISTED = _BYTE_CHARS | {10: 32}
+#: Stands before a text's first word; texts that hold it go to the library.
+_MARK = "\x02"
 #: White space to str.split, but not to the library.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: White space other than one space or line feed between words, in ASCII texts and in all.
 _ASCII_ODD = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
-_ODD = [*_ASCII_ODD, *map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+_WIDE = [*map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+_ODD = [*_ASCII_ODD, *_WIDE]
 _LATIN = re.compile("[\\x00-\xff]*$")
+#: Characters of text that are cut into words at once, and words that the model gets at once.
+_PART, _LIST = 6 << 20, 500
 _HELD: dict[tuple[str, str], WordCache] = {}
 
 
@@ -41,62 +59,148 @@ class _Tails(dict):
         return ids
 
 
-class WordCache(dict):
-    """ids(texts): for each text its ids as little-endian unsigned 32-bit integers. kind: "byte" or "word", as the vocabulary."""
+class WordCache:
+    """ids(texts): for each text its ids as little-endian unsigned 32-bit integers. kind: "byte" or "word", as the vocabulary.
+
+    limit: words that are kept, in two Arrow columns of some 40 bytes a word; beyond it, the half that was used last stays.
+    """
 
-    def __init__(self, path: str, kind: str, limit: int = 500_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kind: str, limit: int = 600_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._limit, self._older, self._byte = limit // 2, {}, kind == "byte"
+        self._limit, self._byte = limit, kind == "byte"
+        self._words, self._ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        self._used, self._turn = np.zeros(0, np.int64), 0
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # in a text, their strings are ordinary text
-        self._merge = self._tokenizer.model.tokenize
+        self._listed = Tokenizer(self._tokenizer.model)  # cuts at spaces only
+        self._listed.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._tails = _Tails(self._whole)
+        self._added = {t["content"][:2] for t in json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]} | {_MARK}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self._merge(piece.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters (with the space before them), which the model sees as byte characters, one list after another."""
+        lists = ["\n".join(words[i : i + _LIST]).encode().decode("latin-1").translate(_LISTED) for i in range(0, len(words), _LIST)]
+        out = []
+        for e in self._listed.encode_batch(lists, add_special_tokens=False):
+            of = np.array(e.word_ids)
+            ends = [*(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), 4 * len(of)]
+            raw, at = array("I", e.ids).tobytes(), 0
+            for end in ends:
+                out.append(raw[at:end])
+                at = end
+        return out
 
-    def __missing__(self, word: str) -> bytes:
-        """Ids of a run without white space, before which a byte vocabulary has a space, or the line feed that the word then begins with."""
-        ids = self._older.get(word)
-        if ids is None:
+    def _made(self, words: list[str], known: dict[str, bytes]) -> dict[str, bytes]:
+        """Ids of runs without white space, and of the words of letters in them. known: ids of some of the latter.
+
+        A byte vocabulary has a space before each run, but for those that begin with a line feed or _MARK.
+        """
+        out, todo, later = {}, {}, []
+        for word in words:
+            if word == _MARK:
+                out[word] = b""
+                continue
+            if word.isalpha() and word.isascii():
+                todo[word] = f" {word}" if self._byte else word.lower()
+                continue
+            first = word[:1] if self._byte and word[:1] in (_MARK, "\n") else ""
             core = word.rstrip(punctuation)
-            first = self._byte and core[:1] == "\n"
-            letters = core[1:] if first else core
+            letters = core[len(first) :]
             if letters.isalpha() and (letters.isascii() or _LATIN.match(letters)):
-                if core is not word:
-                    ids = self[core] + self._tails[word[len(core) :]]
-                elif first:
-                    ids = self._tails["\n"] + self._letters(letters)
-                else:
-                    ids = self._letters(f" {letters}" if self._byte else letters.lower())
+                key = _MARK + letters if first else core
+                if key not in known and key not in todo:
+                    todo[key] = f" {letters}" if self._byte and not first else letters if self._byte else letters.lower()
+                if key != word:
+                    later.append((word, first, key, word[len(core) :]))
             else:
-                ids = self._whole(f" {word}" if self._byte and word[0] != "\n" else word)
-        self[word] = ids
-        return ids
+                out[word] = self._whole(word[1:] if first == _MARK else word if first or not self._byte else f" {word}")
+        out.update(zip(todo, self._merged(list(todo.values()))))
+        for word, first, key, tail in later:
+            ids = known[key] if key in known else out[key]
+            if first == "\n":
+                ids = self._tails[first] + ids
+            out[word] = ids + self._tails[tail] if tail else ids
+        return out
 
-    def _text(self, text: str) -> bytes:
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the cache has each of these distinct words, after it has learned those that it did not have."""
+        cores = pc.utf8_rtrim(words, characters=punctuation)
+        if self._byte:
+            cores = pc.replace_substring(cores, "\n", _MARK)
+        cores = cores.filter(pc.not_equal(cores, words))
+        at = pc.fill_null(pc.index_in(pa.concat_arrays([words, cores]), value_set=self._words), -1).to_numpy().copy()
+        at, of_cores = at[: len(words)], at[len(words) :]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            held = np.flatnonzero(of_cores >= 0)
+            ids = self._ids.take(pa.array(of_cores[held]))
+            raw, ends = ids.flatten().to_numpy().tobytes(), (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+            known = {w: raw[a:b] for w, a, b in zip(cores.take(pa.array(held)).to_pylist(), ends, ends[1:])}
+            asked = words.take(pa.array(new)).to_pylist()
+            made = self._made(asked, known)
+            asked += made.keys() - set(asked) if len(made) > len(asked) else []
+            pieces = [made[w] for w in asked]
+            at[new] = len(self._words) + np.arange(len(new))
+            ends = pa.array(np.cumsum([0, *map(len, pieces)], dtype=np.int64) // 4, pa.int32())
+            more = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(pieces), "<u4")))
+            self._words = pa.concat_arrays([self._words, pa.array(asked, pa.string())])
+            self._ids = pa.concat_arrays([self._ids, more.cast(self._ids.type)])
+            self._used = np.append(self._used, np.full(len(asked), self._turn))
+        self._used[at] = self._turn = self._turn + 1
+        return at
+
+    def _part(self, texts: list[str]) -> list[bytes]:
         if self._byte:
-            # only texts with single spaces and line feeds between words, and none at the ends, are cut here
+            joined = (_MARK + f" {_MARK}".join(texts)).replace("\n", " \n")
+        else:
+            joined = f"{_MARK} " + f" {_MARK} ".join(texts).replace("\n", " ")
+        found = pc.split_pattern(pa.array([joined]), " ").values.dictionary_encode()
+        codes, words = found.indices.to_numpy(), found.dictionary
+        ids = self._ids_of(words, codes)
+        at, raw = ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy().tobytes()
+        firsts = pc.starts_with(words, _MARK).to_numpy(zero_copy_only=False)[codes]
+        bounds = (4 * (at[:-1][firsts] - at[0])).tolist() + [len(raw)]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _ids_of(self, words: pa.Array, codes: np.ndarray) -> pa.ListArray:
+        at = self._places(words)
+        ids = self._ids.take(pa.array(at[codes]))
+        if len(self._words) > self._limit:
+            stay = pa.array(np.sort(np.argsort(-self._used, kind="stable")[: self._limit // 2]))
+            self._words, self._ids, self._used = self._words.take(stay), self._ids.take(stay), self._used[stay.to_numpy()]
+        return ids
+
+    def _plain(self, text: str) -> str | None:
+        """What can be cut into words here: only single spaces and line feeds between them. None: the library gets the text."""
+        if any(c in text for c in self._added):
+            return None
+        if self._byte:  # none at the ends, either
             odd = _ASCII_ODD if text.isascii() else _ODD
-            if not text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in odd):
-                return self._whole(text)
-            first, *words = text.replace("\n", " \n").split(" ")
-            return self._whole(first) + b"".join(map(self.__getitem__, words))
+            return None if text[0] in " \n" or text[-1] in " \n" or any(c in text for c in odd) else text
         if any(c in text for c in _NOT_SPACE):
-            return self._whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+            return None
+        return " ".join(text.split()) if any(c in text for c in "\t\r\x0b\x0c") or not text.isascii() and any(c in text for c in _WIDE) else text
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if len(self) > self._limit:
-                self._older = dict(self)
-                self.clear()
-            out.append(self._text(t))
+        out, held, size = [b""] * len(texts), {}, 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if (plain := self._plain(text)) is None:
+                out[i] = self._whole(text)
+                continue
+            held[i] = plain
+            size += len(plain)
+            if size >= _PART or i == len(texts) - 1:
+                for at, ids in zip(held, self._part(list(held.values()))):
+                    out[at] = ids
+                held, size = {}, 0
+        if held:
+            for at, ids in zip(held, self._part(list(held.values()))):
+                out[at] = ids
         return out
 
 

@@ -56,8 +56,9 @@ def test_word_cache_equals_library(path, kind, plain):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [*plain.text[:60], "", " ", "\n", "a  b\n\nc \n d\t\te  ", "  x 's  'sx ''s!'s", "日本語 \u00a0x É́ ", "a\x1cb", "ΑΣ. x  y", "I'll we'Ve  12 3", "\nfoo bar", "İx. ª. µm", "b:\nc,...", "<|endoftext|> x", "\nA\nb.", "!!\n?", " .", "x\u2028y z"]
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    assert added
+    texts = [*added, *(f"a {x} b{x}c \n{x}" for x in added), *(x.upper() for x in added), "<| x |>", "\x02 x\x02", *plain.text[:60], "", " ", "\n", "a  b\n\nc \n d\t\te  ", "  x 's  'sx ''s!'s", "日本語 \u00a0x É́ ", "a\x1cb", "ΑΣ. x  y", "I'll we'Ve  12 3", "\nfoo bar", "İx. ª. µm", "b:\nc,...", "<|endoftext|> x", "\nA\nb.", "!!\n?", " .", "x\u2028y z"]
     cache = WordCache(path, kind, limit=300)
     for _ in range(2):  # from the library, then from the cache
         assert [np.frombuffer(x, "<u4").tolist() for x in cache.ids(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
