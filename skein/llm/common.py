@@ -85,7 +85,7 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
-def portions(batches, column: int, size: int = 6 << 20):
+def portions(batches, column: int, size: int = 8 << 20):
     """Arrow batches in parts of about size bytes of a string column; a longer text is a part of its own."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -2,19 +2,24 @@
 
 Format of a store, all Parquet but for the manifest:
 
-* chunks: digest (BLAKE2b of the content, 20 bytes), n (ids), payload (a byte that says how many bytes an id has, then the ids,
+* chunks: digest (BLAKE2b of the content, 20 bytes), payload (a byte that says how many bytes an id has, then the ids,
   little-endian: two bytes each where all are below 65,536, else four; the column is compressed with zstandard). Every distinct chunk is
   there once.
 * recipes, in ascending doc_id order: doc_id, start (ids of all documents before), n_tokens, digests (of its chunks, in order), root
-  (the Merkle root of these digests).
-* manifest: one JSON line; for every recipe partition its number of documents, of ids, and the Merkle root of its documents' roots;
-  over these the root of the whole.
+  (the Merkle root of these digests), part and page (where it stands: at most PAGE documents have the same part and page).
+* manifest: one JSON line; for every part its number of documents, of ids, and the Merkle root over its pages' roots, each of which is the
+  root over the page's documents; over the parts' roots, the root of the whole.
 
 A rolling hash over the last WINDOW ids places the cuts, so equal passages give equal chunks wherever they stand. Every reader checks
 each chunk against its digest and each document against its root.
 
+Writing takes one pass over the texts. A task stores its documents' recipes and, once, each chunk that it meets, in a table that goes when
+the store is done. Of chunks that several tasks met, the one with the smallest number stays: digests and numbers are shuffled, contents
+never are. So a passage that a third of the documents share is stored once by each task first, not once by each document.
+
 Edge cases: a null text counts as empty and has only the end id; a null doc_id comes first; rows with the same doc_id each keep their
-own place, in the order of their content; an empty table gives an empty store. Other columns are ignored.
+own place, in the order of their content; an empty table gives an empty store. Other columns are ignored; doc_id may have any type that
+can be ordered.
 """
 
 from __future__ import annotations
@@ -28,20 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_sums
+from .common import checkpoint, drop_path, portions, running_sums, scratch
 from .tokens import word_cache
 
 WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 2048, 8
+PAGE = 4096
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_RECIPES = "doc_id long, start long, n_tokens long, digests array<binary>, root binary, part int"
-_RAW = "doc_id long, n_tokens long, digests array<binary>, digest binary, n long, payload binary, slot int"
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the hash of the WINDOW ids up to there has MEAN_BITS zero bits on top, LEAST to MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the hash of the WINDOW ids up to there has MEAN_BITS zero bits on top: a chunk may end there."""
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(_MULTIPLIER)
         mixed ^= mixed >> np.uint64(29)
@@ -50,17 +51,29 @@ def cuts(ids: np.ndarray) -> list[int]:
             before, roll = roll, roll.copy()
             roll[span:] += before[:-span] * np.uint64(pow(_MULTIPLIER, span, 1 << 64))
             span *= 2
-        roll = roll * np.uint64(_MULTIPLIER)
-    marks = np.flatnonzero(roll >> np.uint64(64 - MEAN_BITS) == 0) + 1
-    ends, last = [], 0
-    for m in [*marks.tolist(), n]:
+        roll *= np.uint64(_MULTIPLIER)
+    return np.flatnonzero(roll >> np.uint64(64 - MEAN_BITS) == 0) + 1
+
+
+def ends(first: int, end: int, may: list[int]) -> list[int]:
+    """Ends of the chunks of a document's ids, first to end, LEAST to MOST ids apart. may: the marks after first and before end.
+
+    As LEAST exceeds WINDOW, no cut looks at ids before the document.
+    """
+    out, last = [], first
+    for m in [*may, end]:
         while m - last > MOST:
             last += MOST
-            ends.append(last)
-        if m - last >= LEAST or m == n and m > last:
-            ends.append(m)
+            out.append(last)
+        if m - last >= LEAST or m == end and m > last:
+            out.append(m)
             last = m
-    return ends
+    return out or [end]
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    may = marks(ids)
+    return ends(0, len(ids), may[may < len(ids)].tolist())
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -84,82 +97,91 @@ def _digest(ids: bytes) -> bytes:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int = 2) -> None:
-    """Encodes docs (doc_id, text) and writes the store to path.
-
-    One pass: each task encodes its documents, cuts them, and sends a recipe for each document and each chunk that this task has not
-    sent before, dealt out by digest; the receiver keeps one of equal chunks. So a passage that a third of the documents share is
-    sent once by each task, not once by each document.
-    """
+    """Encodes docs (doc_id, text) and writes the store to path."""
     spark = docs.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    held = f"doc_id {id_type}, n_tokens long, digests array<binary>, root binary, first long, fresh array<binary>, payloads array<binary>"
 
     def encode(batches):
-        words, sent = word_cache(tokenizer, kind), set()
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                rows = []
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    raw = (words.ids([text])[0] if text else b"") + end
-                    ids = np.frombuffer(raw, "<u4")
-                    digests, last = [], 0
-                    for stop in cuts(ids):
-                        d = _digest(raw[4 * last : 4 * stop])
-                        digests.append(d)
-                        if d not in sent:
-                            if len(sent) >= 1_000_000:
-                                sent.clear()
-                            sent.add(d)
-                            rows.append((None, None, None, d, stop - last, _pack(ids[last:stop]), int.from_bytes(d[:4], "little") % slots))
-                        last = stop
-                    rows.append((doc_id, len(ids), digests, None, None, None, zlib.crc32(digests[0] + str(doc_id).encode()) % slots))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.binary(), pa.int32())
-                names = ("doc_id", "n_tokens", "digests", "digest", "n", "payload", "slot")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-
-    def once(batches):
-        last = None
-        for b in batches:
-            keep = []
-            for d in b.column("digest").to_pylist():
-                keep.append(d is None or d != last)
-                last = d
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    dealt = docs.select("doc_id", "text").mapInArrow(encode, _RAW)
-    dealt = dealt.repartition(max(1, slots // 4), "slot").sortWithinPartitions("slot", "digest").mapInArrow(once, _RAW)
-    dealt.drop("slot").withColumn("chunk", F.col("digest").isNotNull()).write.partitionBy("chunk").option("compression", "zstd").parquet(f"{path}/encoded")
-
-    raw = spark.read.schema("doc_id long, n_tokens long, digests array<binary>, chunk boolean").parquet(f"{path}/encoded")
-    recipes = running_sums(raw.where(~F.col("chunk")).drop("chunk"), [F.col("doc_id").asc_nulls_first(), F.col("digests")], "n_tokens", "start")
-
-    def rooted(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        for b in batches:
-            roots = pa.array([merkle(d) for d in b.column("digests").to_pylist()], pa.binary())
-            cols = [*(b.column(c) for c in ("doc_id", "start", "n_tokens", "digests")), roots, pa.array([part] * b.num_rows, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "digests", "root", "part"])
-
-    recipes.select("doc_id", "start", "n_tokens", "digests").mapInArrow(rooted, _RECIPES).write.parquet(f"{path}/recipes")
-    parts = _part_roots(read_recipes(spark, path)).collect()  # a row for each partition of recipes
-    parts = sorted((r.asDict() for r in parts), key=lambda r: r["first"])
+        words, met = word_cache(tokenizer, kind), set()
+        number = TaskContext.get().partitionId() << 40
+        end = np.array([end_id], "<u4").tobytes()
+        for b in portions(batches, 1):
+            roots, chunks, firsts, digests, fresh, payloads, n_fresh = [], [0], [], [], [], [], [0]
+            encoded = [x + end for x in words.ids(b.column(1).to_pylist())]
+            sizes = [len(x) // 4 for x in encoded]
+            raw = b"".join(encoded)
+            ids = np.frombuffer(raw, "<u4")
+            small = ids.astype("<u2").tobytes() if ids.max(initial=0) < 1 << 16 else None
+            may, last = marks(ids), 0
+            places = np.searchsorted(may, np.cumsum([0, *sizes]), "right").tolist()
+            may = may.tolist()
+            for k, size in enumerate(sizes):
+                firsts.append(number + len(fresh))
+                till = last + size
+                for stop in ends(last, till, [m for m in may[places[k] : places[k + 1]] if m < till]):
+                    digests.append(d := _digest(raw[4 * last : 4 * stop]))
+                    if d not in met:
+                        if len(met) >= 500_000:
+                            met.clear()
+                        met.add(d)
+                        fresh.append(d)
+                        payloads.append(b"\2" + small[2 * last : 2 * stop] if small else _pack(ids[last:stop]))
+                    last = stop
+                roots.append(merkle(digests[chunks[-1] :]))
+                chunks.append(len(digests))
+                n_fresh.append(len(fresh))
+            number += len(fresh)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, pa.binary())) for at, x in ((chunks, digests), (n_fresh, fresh), (n_fresh, payloads))]
+            cols = [b.column(0), pa.array(sizes, pa.int64()), lists[0], pa.array(roots, pa.binary()), pa.array(firsts, pa.int64()), *lists[1:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "digests", "root", "first", "fresh", "payloads"])
+
+    work = scratch(spark, "encoded")
+    docs.select("doc_id", "text").mapInArrow(encode, held).write.option("compression", "snappy").parquet(work)
+    done = spark.read.schema(held).parquet(work)
+
+    # numbers of chunks: no two stored chunks share one
+    each = done.select("first", F.posexplode("fresh").alias("pos", "digest")).select((F.col("first") + F.col("pos")).alias("number"), "digest")
+    several = each.groupBy("digest").agg(F.min("number").alias("least"), F.count("*").alias("times")).where("times > 1")
+    again = checkpoint(each.join(several.select("digest", "least"), "digest").where("number > least").select("number"))
+    few = again.count() <= 1 << 20  # eight bytes each; beyond that, the join is by shuffle
+    full = done.select("first", F.posexplode(F.arrays_zip("fresh", "payloads")).alias("pos", "chunk"))
+    full = full.select((F.col("first") + F.col("pos")).alias("number"), F.col("chunk.fresh").alias("digest"), F.col("chunk.payloads").alias("payload"))
+    chunks = full.join(F.broadcast(again) if few else again, "number", "left_anti")
+    chunks.select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/chunks")
+
+    recipes = running_sums(done.select("doc_id", "n_tokens", "digests", "root"), [F.col("doc_id").asc_nulls_first(), F.col("digests")], "n_tokens", "start")
+    row = F.monotonically_increasing_id()  # 33 bits for rows within a partition, the partition's number above
+    recipes = recipes.withColumns({"part": F.shiftright(row, 33).cast("int"), "page": F.floor(row.bitwiseAND(F.lit((1 << 33) - 1)) / PAGE)})
+    recipes.select("doc_id", "start", "n_tokens", "digests", "root", "part", "page").write.parquet(f"{path}/recipes")
+    drop_path(spark, work)
+    parts = sorted((r.asDict() for r in _part_roots(_recipe_rows(spark, path)).collect()), key=lambda r: r["first"])  # a row for each part
     root = merkle([bytes(r["root"]) for r in parts])
-    said = {"window": WINDOW, "least": LEAST, "most": MOST, "mean_bits": MEAN_BITS, "end_id": end_id, "documents": sum(r["documents"] for r in parts), "ids": sum(r["ids"] for r in parts), "root": root.hex(), "parts": [r | {"root": bytes(r["root"]).hex()} for r in parts]}
+    said = {"window": WINDOW, "least": LEAST, "most": MOST, "mean_bits": MEAN_BITS, "page": PAGE, "end_id": end_id, "id_type": id_type}
+    said |= {"documents": sum(r["documents"] for r in parts), "ids": sum(r["ids"] for r in parts), "root": root.hex(), "parts": [r | {"root": bytes(r["root"]).hex()} for r in parts]}
     spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
 
+def _recipe_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("start long, n_tokens long, root binary, part int, page long").parquet(f"{path}/recipes")
+
+
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """(first, documents, ids, root) of each partition of recipes; a leaf is a document's root with its start."""
+    """(first, documents, ids, root) of each part: over its pages, of at most PAGE documents each. A leaf is a document's root and start."""
 
-    def fold(f):
+    def page_root(f):
         f = f.sort_values("start")
         leaves = [bytes(r) + int(s).to_bytes(8, "little") for r, s in zip(f["root"], f["start"])]
-        return f.iloc[:1][["start"]].rename(columns={"start": "first"}).assign(documents=len(f), ids=int(f["n_tokens"].sum()), root=merkle(leaves))
+        return f.iloc[:1][["part", "page"]].assign(first=f["start"].iloc[0], documents=len(f), ids=int(f["n_tokens"].sum()), root=merkle(leaves))
 
-    return recipes.select("start", "n_tokens", "root", "part").groupBy("part").applyInPandas(fold, "first long, documents long, ids long, root binary")
+    def part_root(f):
+        f = f.sort_values("page")
+        return f.iloc[:1][["first"]].assign(documents=int(f["documents"].sum()), ids=int(f["ids"].sum()), root=merkle([bytes(r) for r in f["root"]]))
+
+    pages = recipes.groupBy("part", "page").applyInPandas(page_root, "part int, page long, first long, documents long, ids long, root binary")
+    return pages.groupBy("part").applyInPandas(part_root, "first long, documents long, ids long, root binary")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -173,18 +195,23 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError(f"{path}: a chunk does not match its digest")
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(r) // 4 for r in raws], pa.int64()), pa.array([zlib.crc32(r) for r in raws], pa.int64()), pa.array(raws, pa.binary())], names=["digest", "n", "crc", "ids"])
 
-    raw = spark.read.schema("digest binary, payload binary, chunk boolean").parquet(f"{path}/encoded").where("chunk").select("digest", "payload")
+    raw = spark.read.schema("digest binary, payload binary").parquet(f"{path}/chunks")
     return raw.mapInArrow(check, "digest binary, n long, crc long, ids binary")
 
 
+def manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest").collect()))
+
+
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
+    kinds = f"doc_id {manifest(spark, path)['id_type']}, start long, n_tokens long, digests array<binary>, root binary, part int, page long"
+    return spark.read.schema(kinds).parquet(f"{path}/recipes")
 
 
 def verify(spark: SparkSession, path: str) -> dict:
     """The manifest, after its roots were computed again from the recipes."""
-    said = json.loads("".join(r.value for r in spark.read.text(f"{path}/manifest").collect()))
-    found = sorted(((r["first"], r["documents"], r["ids"], bytes(r["root"]).hex()) for r in _part_roots(read_recipes(spark, path)).collect()))
+    said = manifest(spark, path)
+    found = sorted(((r["first"], r["documents"], r["ids"], bytes(r["root"]).hex()) for r in _part_roots(_recipe_rows(spark, path)).collect()))
     if found != [(r["first"], r["documents"], r["ids"], r["root"]) for r in said["parts"]] or merkle([bytes.fromhex(r[3]) for r in found]).hex() != said["root"]:
         raise ValueError(f"{path}: the recipes do not match the manifest")
     return said
@@ -192,15 +219,17 @@ def verify(spark: SparkSession, path: str) -> dict:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<long>): every document put together again from its chunks."""
+    recipes = read_recipes(spark, path)
 
-    def join(key, f):
+    def join(f):
         import pandas as pd
 
         f = f.sort_values("pos")
-        return pd.DataFrame({"doc_id": f["doc_id"].iloc[:1].astype("Int64"), "start": f["start"].iloc[:1], "ids": [np.frombuffer(b"".join(map(bytes, f["ids"])), "<u4").astype(np.int64).tolist()]})
+        return pd.DataFrame({"start": f["start"].iloc[:1], "ids": [np.frombuffer(b"".join(map(bytes, f["ids"])), "<u4").astype(np.int64).tolist()]})
 
-    parts = read_recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
-    return parts.join(read_chunks(spark, path), "digest").groupBy("start").applyInPandas(join, "doc_id long, start long, ids array<long>")
+    parts = recipes.select("start", F.posexplode("digests").alias("pos", "digest")).join(read_chunks(spark, path), "digest")
+    whole = parts.groupBy("start").applyInPandas(join, "start long, ids array<long>")
+    return recipes.select("doc_id", "start").join(whole, "start").select("doc_id", "start", "ids")
 
 
 def _times(a, b):
@@ -238,9 +267,10 @@ def digests_of_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from a store's files.
 
     A document's CRC-32 follows from those of its chunks, so each chunk is read and checked once, and only its digest, length and
-    checksum travel to the documents that use it.
+    checksum travel to the documents that use it. read_documents puts whole documents together, which moves every id twice.
     """
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    recipes = read_recipes(spark, path)
+    schema = f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long"
 
     def combine(batches):
         for b in batches:
@@ -258,6 +288,8 @@ def digests_of_documents(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(sizes, pa.int64()), pa.array(crcs.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     known = read_chunks(spark, path).select("digest", "n", "crc")
-    parts = read_recipes(spark, path).select("doc_id", "start", "root", F.posexplode("digests").alias("pos", "digest")).join(known, "digest")
-    docs = parts.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), F.collect_list(F.struct("pos", "digest", "n", "crc")).alias("parts"))
+    first = F.col("pos") == 0  # a document's own columns travel once, with its first chunk
+    parts = recipes.select("doc_id", "start", "root", F.posexplode("digests").alias("pos", "digest"))
+    parts = parts.select("start", "pos", "digest", F.when(first, F.col("root")).alias("root"), F.when(first, F.col("doc_id")).alias("doc_id")).join(known, "digest")
+    docs = parts.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.max("root").alias("root"), F.collect_list(F.struct("pos", "digest", "n", "crc")).alias("parts"))
     return docs.select("doc_id", "start", "root", "parts").mapInArrow(combine, schema)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import sys
 from array import array
 from pathlib import Path
@@ -40,12 +39,20 @@ _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _ASCII_ODD = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _WIDE = [*map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 _ODD = [*_ASCII_ODD, *_WIDE]
-_LATIN = re.compile("[\\x00-\xff]*$")
+_LATIN = "^[\\x00-\\x{ff}]*$"
 #: Characters of text that are cut into words at once, and words that the model gets at once.
-_PART, _LIST = 6 << 20, 500
+_PART, _LIST = 8 << 20, 500
 _HELD: dict[tuple[str, str], WordCache] = {}
 
 
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.uint32()))
+
+
+def _ragged(pieces: list[bytes]) -> pa.ListArray:
+    return _lists(np.array([len(p) // 4 for p in pieces], np.int64), np.frombuffer(b"".join(pieces), "<u4"))
+
+
 class _Tails(dict):
     """Runs of ASCII punctuation behind a word; each is cut off as one piece."""
 
@@ -69,7 +76,7 @@ class WordCache:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._limit, self._byte = limit, kind == "byte"
-        self._words, self._ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        self._words, self._ids = pa.array([], pa.string()), _ragged([])
         self._used, self._turn = np.zeros(0, np.int64), 0
         self._tokenizer = Tokenizer.from_file(path)
         self._listed = Tokenizer(self._tokenizer.model)  # cuts at spaces only
@@ -80,76 +87,67 @@ class WordCache:
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _merged(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters (with the space before them), which the model sees as byte characters, one list after another."""
-        lists = ["\n".join(words[i : i + _LIST]).encode().decode("latin-1").translate(_LISTED) for i in range(0, len(words), _LIST)]
-        out = []
+    def _merged(self, words: pa.Array) -> pa.ListArray:
+        """Ids of words of letters, which the model sees as byte characters, one list after another."""
+        words = words.to_pylist()
+        if self._byte:  # a space before each, but for those with a mark
+            words = [w[1:] if w[0] == _MARK else f" {w}" for w in words]
+        lists = ["\n".join(words[i : i + _LIST]) for i in range(0, len(words), _LIST)]
+        lists = [(x if self._byte else x.lower()).encode().decode("latin-1").translate(_LISTED) for x in lists]
+        ids, counts = array("I"), [np.zeros(0, np.int64)]
         for e in self._listed.encode_batch(lists, add_special_tokens=False):
+            ids.extend(e.ids)
             of = np.array(e.word_ids)
-            ends = [*(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), 4 * len(of)]
-            raw, at = array("I", e.ids).tobytes(), 0
-            for end in ends:
-                out.append(raw[at:end])
-                at = end
-        return out
-
-    def _made(self, words: list[str], known: dict[str, bytes]) -> dict[str, bytes]:
-        """Ids of runs without white space, and of the words of letters in them. known: ids of some of the latter.
+            counts.append(np.diff(np.flatnonzero(of[1:] != of[:-1]) + 1, prepend=0, append=len(of)))
+        return _lists(np.concatenate(counts), np.frombuffer(ids, "<u4"))
 
-        A byte vocabulary has a space before each run, but for those that begin with a line feed or _MARK.
-        """
-        out, todo, later = {}, {}, []
-        for word in words:
-            if word == _MARK:
-                out[word] = b""
-                continue
-            if word.isalpha() and word.isascii():
-                todo[word] = f" {word}" if self._byte else word.lower()
-                continue
-            first = word[:1] if self._byte and word[:1] in (_MARK, "\n") else ""
-            core = word.rstrip(punctuation)
-            letters = core[len(first) :]
-            if letters.isalpha() and (letters.isascii() or _LATIN.match(letters)):
-                key = _MARK + letters if first else core
-                if key not in known and key not in todo:
-                    todo[key] = f" {letters}" if self._byte and not first else letters if self._byte else letters.lower()
-                if key != word:
-                    later.append((word, first, key, word[len(core) :]))
-            else:
-                out[word] = self._whole(word[1:] if first == _MARK else word if first or not self._byte else f" {word}")
-        out.update(zip(todo, self._merged(list(todo.values()))))
-        for word, first, key, tail in later:
-            ids = known[key] if key in known else out[key]
-            if first == "\n":
-                ids = self._tails[first] + ids
-            out[word] = ids + self._tails[tail] if tail else ids
-        return out
+    def _learn(self, words: pa.Array, ids: pa.ListArray) -> None:
+        self._words, self._ids = pa.concat_arrays([self._words, words]), pa.concat_arrays([self._ids, ids])
+        self._used = np.append(self._used, np.full(len(words), self._turn))
 
     def _places(self, words: pa.Array) -> np.ndarray:
-        """Where the cache has each of these distinct words, after it has learned those that it did not have."""
+        """Where the cache has each of these distinct runs without white space, after it has learned those that it did not have.
+
+        A byte vocabulary has a space before each run, but for those that begin with a line feed or _MARK. A word of Latin letters is learned
+        as such, one with punctuation behind it or a line feed before it from its parts, and any other from the library.
+        """
+        self._turn += 1
         cores = pc.utf8_rtrim(words, characters=punctuation)
         if self._byte:
             cores = pc.replace_substring(cores, "\n", _MARK)
-        cores = cores.filter(pc.not_equal(cores, words))
-        at = pc.fill_null(pc.index_in(pa.concat_arrays([words, cores]), value_set=self._words), -1).to_numpy().copy()
-        at, of_cores = at[: len(words)], at[len(words) :]
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            held = np.flatnonzero(of_cores >= 0)
-            ids = self._ids.take(pa.array(of_cores[held]))
-            raw, ends = ids.flatten().to_numpy().tobytes(), (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
-            known = {w: raw[a:b] for w, a, b in zip(cores.take(pa.array(held)).to_pylist(), ends, ends[1:])}
-            asked = words.take(pa.array(new)).to_pylist()
-            made = self._made(asked, known)
-            asked += made.keys() - set(asked) if len(made) > len(asked) else []
-            pieces = [made[w] for w in asked]
-            at[new] = len(self._words) + np.arange(len(new))
-            ends = pa.array(np.cumsum([0, *map(len, pieces)], dtype=np.int64) // 4, pa.int32())
-            more = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(pieces), "<u4")))
-            self._words = pa.concat_arrays([self._words, pa.array(asked, pa.string())])
-            self._ids = pa.concat_arrays([self._ids, more.cast(self._ids.type)])
-            self._used = np.append(self._used, np.full(len(asked), self._turn))
-        self._used[at] = self._turn = self._turn + 1
+        parted = np.flatnonzero(pc.not_equal(cores, words).to_numpy(zero_copy_only=False))
+        cores = cores.take(pa.array(parted))
+        found = pc.fill_null(pc.index_in(pa.concat_arrays([words, cores]), value_set=self._words), -1).to_numpy()
+        at, core_at = found[: len(words)].copy(), found[len(words) :].copy()
+        is_word = lambda w: pc.and_(pc.utf8_is_alpha(pc.utf8_ltrim(w, characters=_MARK) if self._byte else w), pc.match_substring_regex(w, _LATIN)).to_numpy(zero_copy_only=False)
+        lacks = at[parted] < 0
+        parted, cores, core_at = parted[lacks], cores.filter(pa.array(lacks)), core_at[lacks]
+        made = is_word(cores)  # from parts
+        rest = np.setdiff1d(np.flatnonzero(at < 0), parted[made])
+        single = is_word(words.take(pa.array(rest)))
+        merge = pc.unique(pa.concat_arrays([words.take(pa.array(rest[single])), cores.filter(pa.array(made & (core_at < 0)))]))
+        if len(merge):
+            start = len(self._words)
+            self._learn(merge, self._merged(merge))
+            at[rest[single]] = start + np.arange(single.sum())
+            fresh = made & (core_at < 0)
+            core_at[fresh] = start + pc.index_in(cores.filter(pa.array(fresh)), value_set=merge).to_numpy()
+        if made.any():
+            whole, parted, core_at = words.take(pa.array(parted[made])), parted[made], core_at[made]
+            texts = whole.to_pylist()
+            tails = pa.array([w[len(w.rstrip(punctuation)) :] for w in texts]).dictionary_encode()
+            few = _ragged([*map(self._tails.__getitem__, tails.dictionary.to_pylist()), b"", self._tails["\n"]])
+            n, pool = len(self._ids), pa.concat_arrays([self._ids, few])
+            none = n + len(few) - 2
+            three = np.stack([np.where(pc.starts_with(whole, "\n").to_numpy(zero_copy_only=False) & self._byte, none + 1, none), core_at, n + tails.indices.to_numpy()], axis=1)
+            ids = pool.take(pa.array(three.ravel()))
+            at[parted] = n + np.arange(len(whole))
+            self._learn(whole, pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[::3]), ids.values))
+        if not single.all():
+            others = words.take(pa.array(rest[~single]))
+            at[rest[~single]] = len(self._words) + np.arange(len(others))
+            self._learn(others, _ragged([b"" if w == _MARK else self._whole(w[1:] if w[:1] == _MARK else w if w[:1] == "\n" or not self._byte else f" {w}") for w in others.to_pylist()]))
+        self._used[at] = self._turn
         return at
 
     def _part(self, texts: list[str]) -> list[bytes]:
