@@ -114,3 +114,25 @@ LEGAL_TOKENS = (
     "sarl", "eurl", "sci", "snc", "scop", "dba", "ta", "the", "opc",
 )
 INITIALISM_STOP = ("and", "of", "the", "for", "a", "an", "de", "des", "du", "la", "le", "et")
+
+# Sounds of letters, by script, and of symbols. The Brahmic scripts, Hangul and Kana follow from the letters' Unicode names.
+SOUNDS = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch",
+    "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ґ": "g", "ј": "j",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "ا": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z", "س": "s",
+    "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l", "م": "m",
+    "ن": "n", "ه": "h", "و": "w", "ي": "y", "ة": "h", "ى": "y", "ء": "", "پ": "p", "چ": "ch", "ژ": "zh", "گ": "g", "ک": "k", "ی": "y",
+    "א": "a", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "kh", "ט": "t", "י": "y", "ך": "k", "כ": "k",
+    "ל": "l", "ם": "m", "מ": "m", "ן": "n", "נ": "n", "ס": "s", "ע": "", "ף": "p", "פ": "p", "ץ": "ts", "צ": "ts", "ק": "q",
+    "ר": "r", "ש": "sh", "ת": "t",
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i",
+    "°": "deg", "™": "tm", "€": "EUR", "£": "PS", "–": "-", "—": "-", "…": "...", "«": "<<", "»": ">>", "“": '"', "”": '"',
+}
+# Signs of the Brahmic scripts, by the last word of their names.
+BRAHMIC_SIGNS = {"VIRAMA": "", "ANUSVARA": "n", "CANDRABINDU": "n", "VISARGA": "h", "NUKTA": ""}
+
+# Abbreviations with slashes between their letters.
+SLASHED = {"d/b/a": "dba", "t/a": "ta", "c/o": "careof", "s/o": "sonof"}

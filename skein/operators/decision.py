@@ -24,8 +24,10 @@ def normalized_scores(pairs: DataFrame, prob: str = "prob") -> DataFrame:
 
 
 def with_ranks(scores: DataFrame, columns=SCORE_COLUMNS) -> DataFrame:
-    """scores (q, p, columns) without repeated pairs, with rank_<column>: best first, ties by raw score, then p."""
-    d = scores.groupBy("q", "p").agg(*[F.max(c).alias(c) for c in scores.columns if c not in ("q", "p")])
+    """scores (q, p, columns) with rank_<column>: best first, ties by raw score, then p. Of rows of the same pair, the greatest stays whole."""
+    rest = [c for c in scores.columns if c not in ("q", "p")]
+    best = F.struct(columns[0], *[c for c in rest if c != columns[0]])
+    d = scores.groupBy("q", "p").agg(F.max(best).alias("_best")).select("q", "p", *[F.col(f"_best.{c}").alias(c) for c in rest])
     rank = lambda c: F.row_number().over(W.partitionBy("q").orderBy(F.col(c).desc(), F.col(columns[0]).desc(), "p"))
     return d.withColumns({f"rank_{c}": rank(c) for c in columns})
 

@@ -77,7 +77,7 @@ def entity_sweep(pairs: DataFrame, truth: DataFrame, thresholds: Sequence[float]
     n = lambda c: F.sum(c.cast("long"))
     return _by_query(pairs, truth, thresholds).groupBy("threshold").agg(
         F.round(F.avg(f), 4).alias("macro_f05"), n(empty).alias("pred_empty"), n(single).alias("singletons"), n(empty & single).alias("empty_correct"), n(empty & ~single).alias("empty_wrong"),
-        F.round(n(~empty & single) / F.greatest(n(single), F.lit(1)), 4).alias("singleton_false_merge"),
+        n(~empty & single).alias("singleton_false_merge"),
     )
 
 

@@ -697,7 +697,7 @@ def entity_threshold_table(spark, d):
     _T
     + _BYQ
     + f""" SELECT threshold, round(avg({_F05}), 4) AS macro_f05, sum((n = 0)::INT)::BIGINT AS pred_empty, sum((n_true = 0)::INT)::BIGINT AS singletons, sum((n = 0 AND n_true = 0)::INT)::BIGINT AS empty_correct, sum((n = 0 AND n_true > 0)::INT)::BIGINT AS empty_wrong,
-round(sum((n > 0 AND n_true = 0)::INT) / greatest(sum((n_true = 0)::INT), 1), 4) AS singleton_false_merge FROM per GROUP BY threshold"""
+sum((n > 0 AND n_true = 0)::INT)::BIGINT AS singleton_false_merge FROM per GROUP BY threshold"""
 )
 def entity_sweep(spark, d):
     return metrics.entity_sweep(V.scored(spark, d), V.truth(spark, d))

@@ -35,8 +35,10 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(q, matched array<string>): distinct ids without empty ones, none for a query without a match."""
-    return truth_lists(read_tsv(spark, path, TRUTH))
+    """(q, matched array<string>): distinct ids without empty ones, none for a query without a match. Of a query's rows, the last counts."""
+    raw = read_tsv(spark, path, TRUTH).withColumn("row", F.monotonically_increasing_id())
+    last = raw.groupBy("source1_entity_id").agg(F.max_by("matched_entity_ids", "row").alias("matched_entity_ids"))
+    return truth_lists(last)
 
 
 def truth_lists(raw: DataFrame) -> DataFrame:
@@ -63,8 +65,8 @@ def read_detail(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_idf(idf: DataFrame, path: str) -> None:
-    """idf: field, ckey, gram, df, n_docs, idf."""
-    idf.write.mode("overwrite").partitionBy("field", "ckey").parquet(path)
+    """idf: field, ckey, gram, df, n_docs, idf. In folders by field, sorted by country: a folder's name could not tell '' from null."""
+    idf.sortWithinPartitions("field", "ckey").write.mode("overwrite").partitionBy("field").parquet(path)
 
 
 def read_idf(spark: SparkSession, path: str, field: str) -> DataFrame:

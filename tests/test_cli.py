@@ -7,9 +7,9 @@ FIRST, SECOND, KIND = ("acme", "zenith", "orion", "delta"), ("foods", "motors",
 NAMES = [f"{a} {b} {KIND[(i + j) % 3]}" for i, a in enumerate(FIRST) for j, b in enumerate(SECOND)]
 
 
-def write_sources(spark, at):
+def write_sources(spark, at, country="us"):
     for s in (1, 2, 3):
-        rows = [(f"S{s}-{i:03d}", n if s == 1 else n.replace("o", "oo", 1) if s == 2 else n.upper(), f"{i} main st, springfield", "us") for i, n in enumerate(NAMES) if s == 1 or i % 3]
+        rows = [(f"S{s}-{i:03d}", n if s == 1 else n.replace("o", "oo", 1) if s == 2 else n.upper(), f"{i} main st, springfield", country) for i, n in enumerate(NAMES) if s == 1 or i % 3]
         files.write_tsv(spark.createDataFrame(rows, files.RECORD), at(f"s{s}"))
     files.write_tsv(spark.createDataFrame([(f"S1-{i:03d}", f"S2-{i:03d},S3-{i:03d}" if i % 3 else "") for i in range(len(NAMES))], files.TRUTH), at("truth"))
     return ["--s1", at("s1"), "--s2", at("s2"), "--s3", at("s3")]
@@ -24,6 +24,21 @@ def test_retrieval(spark, tmp_path):
     assert len(got) == len(NAMES) and sum(f"S3-{i:03d}" in got[f"S1-{i:03d}"].split(",") for i in range(len(NAMES)) if i % 3) >= 9
 
 
+def test_retrieval_without_countries(spark, tmp_path):
+    at = lambda k: str(tmp_path / k)
+    three = write_sources(spark, at, "")
+    main(["fit-idf", "--inputs", at("s1"), at("s2"), at("s3"), "--output", at("idf")], spark)
+    assert {r.ckey for r in files.read_idf(spark, at("idf"), "sparse_text").select("ckey").distinct().collect()} == {""}
+    main(["block", *three, "--idf", at("idf"), "--output", at("candidates"), "--k-sparse", "3", "--k-sparse-name", "0"], spark)
+    got = dict(map(tuple, files.read_tsv(spark, at("candidates"), "source1_entity_id string, candidate_entity_ids string").collect()))
+    assert len(got) == len(NAMES) and sum(f"S3-{i:03d}" in got[f"S1-{i:03d}"].split(",") for i in range(len(NAMES)) if i % 3) >= 9
+
+
+def test_last_row_of_truth_counts(spark, tmp_path):
+    files.write_tsv(spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2,S2-2,"), ("S1-2", "")], files.TRUTH).coalesce(1), str(tmp_path / "t"))
+    assert {r.q: r.matched for r in files.read_truth(spark, str(tmp_path / "t")).collect()} == {"S1-1": ["S2-2"], "S1-2": []}
+
+
 def test_scores_to_matches(spark, tmp_path):
     at = lambda k: str(tmp_path / k)
     three = write_sources(spark, at)
