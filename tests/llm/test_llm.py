@@ -367,6 +367,31 @@ def test_neighbours_of_unequal_norms(spark, norms, tmp_path):
     assert len(met) == 100 and np.mean(met) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["unit", "gaussian", "clustered", "log-normal"])
+def test_neighbours_verify_a_share(kind, capsys):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((16_384, 64))
+    if kind == "clustered":
+        x = rng.standard_normal((200, 64))[rng.integers(0, 200, len(x))] + 0.3 * x
+    elif kind != "gaussian":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x *= np.exp(0.3 * rng.standard_normal((len(x), 1))) if kind == "log-normal" else 1
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 200)
+    best, verified = neighbours.search(x, ids, x[asked], asked, 20, 128, 104, 1.0, 0.8, 64, 1.1, 7)
+    met = [len(set(rows) & set([i for i in np.argsort(-(x @ x[q]))[:21].tolist() if i != q][:20])) / 20 for q, (rows, _) in zip(asked, best)]
+    share = verified / len(asked) / len(x)
+    with capsys.disabled():
+        print(f" [{kind}: recall {np.mean(met):.3f}, verified {share:.3f} of the rows]", end="")
+    assert np.mean(met) >= 0.9 and share < 0.25
+
+
+def test_neighbours_ties_across_blocks(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(60)], "vec_id long, embedding array<double>").repartition(5)
+    found = rows(neighbours.nearest(df, df.where("vec_id % 20 = 0"), k=5, block=7, query_block=2)).sort_values(["query_id", "rank"])
+    want = {q: [i for i in range(60) if i != q and (i % 3 > 0) == (q % 3 > 0)][:5] for q in (0, 20, 40)}
+    assert {q: g.vec_id.tolist() for q, g in found.groupby("query_id")} == want
+
+
 # ---- 8
 
 
