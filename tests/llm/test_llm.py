@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import public_tokenizers
+import xxhash
 from pyspark.sql import functions as F
 
 from skein.llm import components, line_dedup, mixing, neighbours, packing, pii, quality, queries, rules, simhash, token_store, toxicity
@@ -311,10 +312,30 @@ def test_lines_equal_brute_force(docs, plain, limit):
     assert found.text.tolist() == plain_lines(plain.text, 3) and found.n_dropped.sum() > 0
 
 
-def test_lines_odd_rows(odd, none):
-    found = rows(line_dedup.drop_shared_lines(odd, least_docs=4))
+def test_only_suspects_travel(spark, docs, plain):
+    """Without any broadcast, what is sent to the exact count are lines that many documents share, and no others."""
+    wanted, blocks = line_dedup.wanted_hashes(docs, 3)
+    keys = Counter(k for t in plain.text for k in set(line_dedup.keys_of(t)) if k)
+    want = {k for k, n in keys.items() if n >= 3}
+    codes = set(line_dedup._codes(wanted.collect()).tolist())
+    of = dict(zip(keys, line_dedup._code(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), blocks).tolist()))
+    assert {k for k in keys if of[k] in codes} == want and 0 < len(want) < len(keys) / 5
+
+
+def test_lines_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PER_BLOCK", 50)
+    texts = ["\n".join(f"line {j * (i % 7 + 1) % 400}" for j in range(20)) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (64 << 20, 1000, 0):
+        found = rows(line_dedup.drop_shared_lines(df, least_docs=10, broadcast_bytes=limit)).sort_values("doc_id")
+        assert found.text.tolist() == plain_lines(texts, 10)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_lines_odd_rows(odd, none, limit):
+    found = rows(line_dedup.drop_shared_lines(odd, least_docs=4, broadcast_bytes=limit))
     assert len(found) == len(ODD) and found.n_dropped.sum() == 4 and found[found.doc_id == 1].text.isna().all()
-    first = rows(line_dedup.drop_shared_lines(odd, least_docs=4, keep_first=True))
+    first = rows(line_dedup.drop_shared_lines(odd, least_docs=4, keep_first=True, broadcast_bytes=limit))
     assert first.n_dropped.sum() == 2  # both rows with id 5 hold the first occurrence
     assert line_dedup.drop_shared_lines(none).count() == 0
 
