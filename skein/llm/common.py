@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections import defaultdict
@@ -38,10 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset (tests), a temporary one."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Only where it is unset in local mode (tests), a temporary one."""
     importable(spark)
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not there and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it names the folder that the driver and all executors share")
     if not there:
         there = tempfile.mkdtemp(prefix="skein-checkpoints-")
     if not sc.getCheckpointDir():
@@ -112,16 +115,26 @@ def sample_of_labels(labels: DataFrame, label: str, take: Column, limit: int) ->
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, take: Column, limit: int) -> DataFrame:
-    """(doc_id, text, y) of a bounded sample of labelled rows. The sample has at most limit short rows, so it is broadcast."""
+    """(doc_id, text, y) of a bounded sample of labelled rows: one text for each id, that with the smallest hash, so limit rows at most.
+
+    The sample of labels has at most limit short rows, so it is broadcast.
+    """
     y = sample_of_labels(labels.select("doc_id", label), label, take, limit)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+
+
+def numbered(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """docs with a number for each row. docs must give the same rows in the same partitions each time it is read, as files do."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def running_sums(df: DataFrame, order: list[Column], value: str, out: str, group: str | None = None) -> DataFrame:
     """df with out: the sum of value over all rows before this one, in the given order (within its group).
 
     The rows are dealt out by ranges of the order, so that a hot group spreads over many tasks; each task adds up its own rows, and
-    the driver only adds the totals by task (and group): as many numbers as there are partitions, plus one for each group.
+    the driver only adds the totals by task (and group, which the order begins with, so that ranges share a group only where they meet):
+    no more numbers than there are partitions and groups together.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

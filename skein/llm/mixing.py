@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, checkpoint, running_sums
+from .common import WORD_RE, checkpoint, numbered, running_sums
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), a row for each source."""
+    """(source, source_size, target) from (source, source_size), a row for each source; one task orders these few short rows."""
     by_name = W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     s = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("ratio", epochs * F.col("source_size") / F.col("weight"))
@@ -65,8 +65,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3
 
     The chosen rows are broadcast only if there are no more than broadcast_up_to (32 MB), and joined by shuffle beyond that.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    chosen = checkpoint(mix(numbered, weights, epochs, "__row").where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken")))
+    rows = numbered(docs)
+    chosen = checkpoint(mix(rows, weights, epochs, "__row").where("taken > 0").select("__row", F.col("size").alias("__size"), F.col("taken").alias("__taken")))
     if chosen.count() <= broadcast_up_to:
         chosen = F.broadcast(chosen)
     names = docs.columns
@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3
                 cols[chars] = pa.array([len(t) for t in texts]).cast(cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return numbered.join(chosen, "__row").select(*names, "__size", "__taken").mapInArrow(copies, docs.schema)
+    return rows.join(chosen, "__row").select(*names, "__size", "__taken").mapInArrow(copies, docs.schema)
 
 
 ORACLE = r"""

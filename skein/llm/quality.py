@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, labelled_texts, slices
+from .common import checkpoint, importable, labelled_texts, slices
 
 BUCKETS, SIZES = 1 << 16, (3, 4, 5)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -106,8 +106,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = 8, epochs:
     return Model(vectors @ difference, bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", take=None, limit: int = 4000, **how) -> Model:
-    """Trains on at most limit labelled rows for which take (a column of labels) holds."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", take=None, limit: int = 4000, most_buckets: int = 16_000_000, **how) -> Model:
+    """Trains on at most limit labelled rows for which take (a column of labels) holds, in the order of a hash of their id, and on no
+    more than have most_buckets features together (128 MB). The driver trains; its time and memory are bounded by these two."""
     importable(docs.sparkSession)
 
     def count(batches):
@@ -118,7 +119,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", take=None, l
 
     sample = labelled_texts(docs, labels, label, F.lit(True) if take is None else take, limit)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(count, f"doc_id {kind}, y int, buckets binary, counts binary").collect()  # at most limit rows
+    counted = checkpoint(sample.mapInArrow(count, f"doc_id {kind}, y int, buckets binary, counts binary"))
+    sizes = counted.select("doc_id", (F.octet_length("buckets") / 4).cast("long").alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    sizes.sort(key=lambda r: (r["h"], r["doc_id"]))
+    fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), most_buckets, "right"))
+    if fits < len(sizes):
+        counted = counted.where(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id") < F.struct(F.lit(sizes[fits]["h"]).alias("h"), F.lit(sizes[fits]["doc_id"]).alias("doc_id")))
+    got = counted.collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["buckets"])))
     return train([(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4"), int(r["y"] > 0)) for r in got], **how)
 

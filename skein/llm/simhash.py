@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, checkpoint, slices
+from .common import LOWER_ASCII, checkpoint, numbered, slices
 from .components import components
 
 REACH = 4
@@ -182,12 +182,14 @@ def near_copies(docs: DataFrame, size: int = 4, seed: int = 42, reach: int = REA
 
 
 def one_of_each(docs: DataFrame, broadcast_up_to: int = 1_000_000, **how) -> DataFrame:
-    """The rows of docs whose doc_id is that of their component, or null: one document of each group of near-copies.
+    """docs with one row of each group of near-copies, by rows and not by ids, which may be null or repeat; the groups are those of
+    near_copies, by 4-word shingles and at most `reach` bits.
 
-    The ids of the others are broadcast only if they are no more than broadcast_up_to (16 MB); beyond that they are joined by shuffle.
+    The numbers of the other rows are broadcast only if they are no more than broadcast_up_to (8 MB); beyond that they are joined by shuffle.
     """
-    found = near_copies(docs, **how)
-    gone = checkpoint(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    rows = numbered(docs)
+    found = near_copies(rows.select(F.col("__row").alias("doc_id"), "text"), **how)
+    gone = checkpoint(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__row")))
     if gone.count() <= broadcast_up_to:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)

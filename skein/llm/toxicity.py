@@ -1,17 +1,20 @@
 """Toxicity by weak supervision (operator 1).
 
 1. Lexicons are mined from labelled rows: words, and beginnings of words of 4 to 8 letters, that toxic texts hold far more often than
-   chance allows (binomial deviation above the logarithm of the number of terms looked at). Near-copies in the sample count once.
-2. Voters: parts of the mined lexicons, a fixed list of English insults, look-alike spelling, direct address, repetition and density vote
-   for toxic; the absence of any hit, and of any hit in a long text, votes against. Each voter may abstain.
+   chance allows (binomial deviation above the logarithm of the number of terms looked at). Near-copies in the sample count once. The rows
+   fall into two halves by a hash of their id, and each mined term knows which halves bear it out by themselves.
+2. Voters: words and beginnings that the one half of the labels bears out, and those of the other half, so that no label speaks through two
+   of them; a fixed list of English insults, look-alike spelling, direct address, repetition and density vote for toxic; the absence of any
+   hit, and of any hit in a long text, votes against. Each voter may abstain.
 3. A label model takes the true label as hidden and estimates by expectation-maximisation how often each voter votes which way on either
    class, and from the residuals how voters correlate; a voter's evidence is divided by what it shares with others.
 4. A linear classifier is trained on hit counts with the posterior as its label, and gives the scores.
 
-Only labels of rows for which `take` holds are read, in step 1 and for the share of toxic texts. The sample is bounded by `limit` rows.
+Only labels of rows for which `take` holds are read, in step 1 and for the share of toxic texts. The sample is bounded by `limit` rows, and
+the lexicons by `most` terms (50,000), of which those with the strongest evidence stay.
 
 Edge cases: a null or empty text has no hits and the score that goes with that; without labels of both classes only the fixed voters
-remain. Rows that share a doc_id each get a row. Other columns are ignored.
+remain, and where the sample has no text with a hit, or none without, the classifier is shown some. Rows that share a doc_id each get a row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,20 +45,23 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Lexicon(dict):
-    """Of each word, the number of its group: 0 for none, 1 to PARTS for mined words, then PARTS for beginnings, then the fixed list."""
+    """Of each word, the number of its group: 0 for none, 1 to PARTS for mined words, then PARTS for beginnings, then the fixed list.
+
+    words, beginnings: terms, each with the halves of the labels that bear it out: 0 neither, 1 the first, 2 the second, 3 both.
+    """
 
     GROUPS = 2 * PARTS + 1
 
-    def __init__(self, words: list[str], beginnings: list[str]):
-        self.words, self.beginnings, self.fixed = frozenset(words), frozenset(beginnings), frozenset(INSULTS)
+    def __init__(self, words: dict[str, int], beginnings: dict[str, int]):
+        self.words, self.beginnings, self.fixed = words, beginnings, frozenset(INSULTS)
         self.sizes = sorted({len(b) for b in beginnings})
 
     def __missing__(self, w: str) -> int:
         g = 0
         if w in self.words:
-            g = 1 + sum(w.encode()) % PARTS
+            g = 1 + self.words[w]
         elif b := next((w[:n] for n in self.sizes if w[:n] in self.beginnings), None):
-            g = 1 + PARTS + sum(b.encode()) % PARTS
+            g = 1 + PARTS + self.beginnings[b]
         elif w in self.fixed:
             g = self.GROUPS
         if len(self) > 400_000:
@@ -85,7 +91,8 @@ def votes(counts: np.ndarray) -> np.ndarray:
     """A column for each voter: 1 toxic, -1 not, 0 abstains."""
     hits, likes, you, distinct, n = counts[:, 1 : Lexicon.GROUPS + 1], *(counts[:, -k] for k in (4, 3, 2, 1))
     total = hits.sum(axis=1) + likes
-    columns = [(hits[:, i] > 0).astype(int) for i in range(hits.shape[1])]
+    halves = [(first + half, first + 3) for first in (0, PARTS) for half in (1, 2)]  # a term of both halves votes with either
+    columns = [(hits[:, h].sum(axis=1) > 0).astype(int) for h in (*map(list, halves), [2 * PARTS])]
     columns += [(likes > 0).astype(int), (you > 0).astype(int), (total >= 3).astype(int), (distinct >= 2).astype(int), (total > 0.01 * n).astype(int) * (total > 0)]
     columns += [np.where(total == 0, -1, 0), np.where((total == 0) & (n >= 100), -1, 0)]
     return np.stack(columns, axis=1)
@@ -173,11 +180,12 @@ def linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.03, rounds: int = 50)
 def _terms(text: str | None) -> set[str]:
     """Words, and beginnings with a hyphen behind."""
     words = set(words_of(text))
-    return {w for w in words if 3 <= len(w) <= 40} | {f"{w[:n]}-" for w in words for n in BEGINNINGS if len(w) > n}
+    return words | {f"{w[:n]}-" for w in words for n in BEGINNINGS if len(w) > n}
 
 
-def mine(sample: DataFrame, least: int = 4, alpha: float = 1.0, most: int = 50_000) -> tuple[list[str], list[str]]:
-    """(words, beginnings) that mark label 1 in sample (text, y), at most `most` of them; texts with the same sketch count once."""
+def mine(sample: DataFrame, least: int = 4, alpha: float = 1.0, most: int = 50_000) -> tuple[dict[str, int], dict[str, int]]:
+    """(words, beginnings) that mark label 1 in sample (doc_id, text, y), at most `most` of them, each with the halves that bear it out;
+    of texts with the same sketch, the one with the smallest hash counts."""
 
     def sketch(batches):
         from xxhash import xxh3_64_intdigest
@@ -188,43 +196,48 @@ def mine(sample: DataFrame, least: int = 4, alpha: float = 1.0, most: int = 50_0
                 w = words_of(t)
                 grams = {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
                 marks.append(min(xxh3_64_intdigest(g) for g in grams) >> 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.int64())], names=["text", "y", "mark"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.int64())], names=["text", "kind", "mark"])
 
     def count(batches):
-        held = (Counter(), Counter())
+        held = [Counter() for _ in range(4)]
         for b in slices(batches):
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held[int(y > 0)].update(_terms(t))
-                if len(held[0]) + len(held[1]) > 400_000:
+            for t, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[kind].update(_terms(t))
+                if sum(map(len, held)) > 400_000:
                     yield said(held)
-                    held = (Counter(), Counter())
+                    held = [Counter() for _ in range(4)]
         yield said(held)
 
     def said(held):
-        terms = list(held[0].keys() | held[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)], names=["term", "against", "hits"])
-
-    one = sample.select("text", "y").mapInArrow(sketch, "text string, y int, mark long").dropDuplicates(["mark"]).select("text", "y")
-    one = checkpoint(one)
-    n = one.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
+        terms = list(set().union(*held))
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)], names=["term", *counts])
+
+    counts = ("against_a", "hits_a", "against_b", "hits_b")
+    kind = (2 * F.pmod(F.xxhash64("doc_id"), F.lit(2)) + (F.col("y") > 0).cast("int")).cast("int").alias("kind")  # half and label
+    one = sample.select("text", kind).mapInArrow(sketch, "text string, kind int, mark long")
+    one = checkpoint(one.groupBy("mark").agg(F.min_by(F.struct("text", "kind"), F.struct(F.xxhash64("text"), "kind")).alias("x")).select("x.text", "x.kind"))
+    n = one.agg(F.count("*").alias("n"), F.sum(F.col("kind") % 2).alias("pos")).first()
     if not n["pos"] or n["pos"] == n["n"]:
-        return [], []
+        return {}, {}
     base = n["pos"] / n["n"]
-    found = one.mapInArrow(count, "term string, against long, hits long").groupBy("term").agg(F.sum("against").alias("against"), F.sum("hits").alias("hits"))
+    found = one.mapInArrow(count, f"term string, {', '.join(f'{c} long' for c in counts)}").groupBy("term").agg(*[F.sum(c).alias(c) for c in counts])
+    found = found.withColumns({c: F.col(f"{c}_a") + F.col(f"{c}_b") for c in ("against", "hits")})
     found = checkpoint(found.where(F.col("hits") + F.col("against") >= least))
     looked = max(found.count(), 1)
     n, p = F.col("hits") + F.col("against"), F.col("hits") / (F.col("hits") + F.col("against"))
     deviation = n * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0))
     sure = found.where((F.col("hits") > 0) & (p >= 0.9)).withColumn("deviation", deviation).where(F.col("deviation") > float(np.log(looked / alpha)))
-    got = {r["term"]: r["hits"] for r in sure.orderBy(F.col("deviation").desc(), "term").limit(most).collect()}
-    words = [t for t in got if not t.endswith("-")]
+    borne = lambda half: ((F.col(f"hits_{half}") >= 2) & (F.col(f"hits_{half}") >= 0.9 * (F.col(f"hits_{half}") + F.col(f"against_{half}")))).cast("int")
+    sure = sure.withColumn("halves", borne("a") + 2 * borne("b"))
+    got = {r["term"]: (r["hits"], r["halves"]) for r in sure.orderBy(F.col("deviation").desc(), "term").limit(most).collect()}
+    words = {t: halves for t, (_, halves) in got.items() if not t.endswith("-")}
     # a beginning must stand for more than one frequent word
-    one_word = {f"{w[:n]}-" for w in words for n in BEGINNINGS if got[w] >= 0.7 * got.get(f"{w[:n]}-", 1 << 60)}
-    return words, [t[:-1] for t in got if t.endswith("-") and t not in one_word]
+    one_word = {f"{w[:n]}-" for w in words for n in BEGINNINGS if got[w][0] >= 0.7 * got.get(f"{w[:n]}-", (1 << 60, 0))[0]}
+    return words, {t[:-1]: halves for t, (_, halves) in got.items() if t.endswith("-") and t not in one_word}
 
 
 class Model:
-    def __init__(self, words: list[str], beginnings: list[str], weights: np.ndarray):
+    def __init__(self, words: dict[str, int], beginnings: dict[str, int], weights: np.ndarray):
         self.lexicon, self.weights = Lexicon(words, beginnings), weights
 
     def scores(self, texts: list) -> np.ndarray:
@@ -248,12 +261,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", take=None, lim
     got = sample.mapInArrow(count, f"doc_id {kind}, y int, counts array<double>").orderBy("doc_id", "counts").collect()  # limit rows at most
     counts = np.array([r["counts"] for r in got]).reshape(len(got), Lexicon.GROUPS + 5)
     prior = float(np.mean([r["y"] > 0 for r in got])) if got else 0.1
-    # a few texts with and without hits, so that the classifier knows both even if the sample is empty
-    known = np.zeros((8, counts.shape[1]))
-    known[:, -1] = (10, 100, 1000, 10, 100, 1000, 10, 100)
-    known[3:, Lexicon.GROUPS] = (1, 2, 20, 2, 10)
-    known[3:, -2] = (1, 1, 5, 2, 4)
-    counts = np.concatenate([counts, np.repeat(known, 8, axis=0)])
+    hit = counts[:, -2] > 0
+    if hit.all() or not hit.any():  # a few texts with and without hits, so that the classifier knows both
+        known = np.zeros((8, counts.shape[1]))
+        known[:, -1] = (10, 100, 1000, 10, 100, 1000, 10, 100)
+        known[3:, Lexicon.GROUPS] = (1, 2, 20, 2, 10)
+        known[3:, -2] = (1, 1, 5, 2, 4)
+        counts = np.concatenate([counts, np.repeat(known, 8, axis=0)])
     v = votes(counts)
     posterior = LabelModel(v, prior).posterior(v)
     return Model(words, beginnings, linear(inputs(counts), posterior))
@@ -261,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", take=None, lim
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
-    own = (sorted(model.lexicon.words), sorted(model.lexicon.beginnings), model.weights)
+    own = (model.lexicon.words, model.lexicon.beginnings, model.weights)
     held = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):

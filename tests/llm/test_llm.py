@@ -511,3 +511,56 @@ def test_pipeline_stages(spark, docs, sf):
     words = lambda f: f.text.map(lambda t: len(t.split())).sum()
     assert abs(words(mixed) - words(near)) <= near.source.nunique()
     assert set(frames["best-fit packing"].doc_id) == set(mixed.doc_id)
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_pipeline_stages_on_odd_rows(spark, sf, which, request):
+    """Null, empty and repeated rows, other columns and an empty table go through every stage."""
+    import corpus_pipeline
+    from skein.llm.common import stored
+
+    docs = stored(request.getfixturevalue(which), "odd-rows")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, docs, sf), "odd-stage")
+        assert out.columns == docs.columns and out.count() <= 3 * docs.count()
+    out = rows(corpus_pipeline.STAGES[-1][1](spark, docs, sf))
+    assert len(out) >= docs.count() and (which == "odd" or len(out) == 0)
+    assert len(out) == 0 or out.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_mixed_odd_rows(spark, odd, none):
+    from skein.llm.common import stored
+
+    kept = stored(odd, "mixed")
+    out = rows(mixing.mixed(kept))
+    taken = rows(mixing.mix(kept))
+    assert list(out.columns) == odd.columns and sum(len(re.findall("[^ \t-\r]+", t)) for t in out.text) == taken.taken.sum()
+    assert mixing.mixed(stored(none, "mixed")).count() == 0
+
+
+def test_copies_go_by_row(spark):
+    from skein.llm.common import stored
+
+    text = "one two three four five six seven"
+    docs = stored(spark.createDataFrame([(None, text), (None, text), (3, "quite another text that shares no words"), (3, text), (4, text)], "doc_id long, text string").coalesce(1), "copies")
+    kept = rows(simhash.one_of_each(docs))
+    assert sorted(kept.text) == sorted(["quite another text that shares no words", text])
+
+
+def test_one_text_for_each_labelled_id(spark):
+    from skein.llm.common import labelled_texts
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int")
+    got = labelled_texts(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.y) for r in got) == [(1, 1), (2, 0)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from skein.llm.common import shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", environment={}, getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc))
