@@ -98,14 +98,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def more_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates of the looser patterns that overlap no base span."""
+    """Candidates of the looser patterns that overlap no base span, nor one another: the kind listed first goes first. No number of an ip
+    is above 255."""
     out = []
     low = text.lower() if "(" in text or "[" in text or "{" in text else ""
     digits = _DIGIT.search(text) is not None
     for kind in KINDS:
         if kind == "email" and not any(x in low for x in ("(at)", "[at]", "{at}")) or kind == "ip" and not any(x in low for x in ("[.]", "(.)", "[dot]", "(dot)")) or kind in ("card", "phone") and not digits:
             continue
-        out += [(kind, m.start(), m.end()) for m in _LOOSE[kind].finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        out += [(kind, m.start(), m.end()) for m in _LOOSE[kind].finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in (*base, *out))]
+        if kind == "ip":
+            out = [x for x in out if x[0] != "ip" or max(map(int, re.findall("[0-9]+", text[x[1] : x[2]]))) <= 255]
     return out
 
 

@@ -297,6 +297,43 @@ def test_pii_method_adds_spans(spark, odd, none):
     assert pii.find(odd, pii.fit(odd)).count() == len(ODD) and pii.find(none, pii.fit(none)).count() == 0
 
 
+def test_pii_added_spans_on_planted_disguises(spark, capsys):
+    rng = np.random.default_rng(4)
+    pick = lambda *x: x[rng.integers(len(x))]
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    area = lambda: str(rng.integers(201, 990))
+    name = lambda: pick("anna", "jo", "karl", "lee", "max") + digits(2)
+    disguised = [
+        lambda: ("email", f"{name()} {pick('(at)', '[at]')} {pick('gmail', 'web', 'acme')} {pick('(dot)', '[dot]')} {pick('com', 'org', 'de')}"),
+        lambda: ("email", f"{name()}(at){pick('gmail', 'proton')}.com"),
+        lambda: ("ip", "[.]".join(str(rng.integers(1, 255)) for _ in range(4))),
+        lambda: ("phone", f"({area()}) {area()}-{digits(4)}"),
+    ]
+    decoys = [lambda: f"invoice {digits(5)} of section {rng.integers(1, 9)}.{rng.integers(1, 9)}", lambda: f"build 1.{digits(1)}.3", lambda: f"order {digits(3)} {digits(3)} {digits(5)}", lambda: f"ip [.] version {rng.integers(300, 999)}[.]{rng.integers(300, 999)}[.]1[.]2", lambda: "met (at) noon"]
+    cue = {"email": ("mail", "contact", "write to"), "ip": ("server", "host", "ping"), "phone": ("tel", "call", "phone")}
+    texts, want = [], []
+    for i in range(1200):
+        text, spans = "some plain words here ", []
+        if i % 3 == 0:
+            kind, shown = pick(*disguised)()
+            text += f"{pick(*cue[kind])} "
+            spans.append((kind, len(text), len(text) + len(shown)))
+            text += shown
+        elif i % 3 == 1:
+            text += pick(*decoys)()
+        else:
+            text += f"mail {name()}@{pick('gmail', 'acme')}.com or call +1 {area()} {area()} {digits(4)}"
+        texts.append(text + " and more words")
+        want.append(spans)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if not s.base] for r in pii.find(df, pii.fit(df)).collect()}
+    hits = sum(len(set(found[i]) & set(w)) for i, w in enumerate(want))
+    recall, precision = hits / sum(map(len, want)), hits / max(1, sum(map(len, found.values())))
+    with capsys.disabled():
+        print(f" [added spans: recall {recall:.3f}, precision {precision:.3f}]", end="")
+    assert recall >= 0.9 and precision >= 0.9
+
+
 # ---- 6
 
 
