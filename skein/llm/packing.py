@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str = "word", capacity: int =
 
     def cut(batches):
         words, end = word_cache(tokenizer, kind), np.array([end_id], "<u4").tobytes()
-        for b in portions(batches, 1):
+        for b in portions(batches, 1, 4 << 20):
             rows = []
             for doc_id, raw in zip(b.column(0).to_pylist(), words.ids(b.column(1).to_pylist())):
                 raw += end
