@@ -62,9 +62,9 @@ def _letters(text: str) -> str:
     return text
 
 
-@query(f"SELECT doc_id, {_letters('lower(substr(text, 1, 128))')} AS key FROM documents")
+@query(f"SELECT doc_id, {_letters('lower(text)')} AS key FROM documents")
 def blocking_key(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", N.blocking_key(F.lower(F.substring("text", 1, 128))).alias("key"))
+    return V.table(spark, d, "documents").select("doc_id", N.blocking_key(F.lower("text")).alias("key"))
 
 
 @query(f"SELECT id, array_to_string(list_transform({_WORDS.format('name')}, lambda t: {_cases('t', T.LEGAL_SUFFIXES)}), ' ') AS name FROM ({_SHORT})")
@@ -117,16 +117,17 @@ def region_codes(spark, d):
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, {_WORDS.format("lower(substr(text, 1, 256))")} AS t FROM documents)
-SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda x: x[2] = 1 OR x[1] <> t[x[2] - 1] OR NOT regexp_full_match(x[1], '[a-z]+')), lambda x: x[1]), ' ') AS text FROM w"""
+    f"""WITH w AS (SELECT doc_id, row_number() OVER () AS row, {_WORDS.format("lower(text)")} AS t FROM documents), u AS (SELECT doc_id, row, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM w),
+k AS (SELECT *, x = lag(x) OVER (PARTITION BY row ORDER BY i) AND regexp_full_match(x, '[a-z]+') AS again FROM u)
+SELECT any_value(w.doc_id) AS doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (again IS NOT TRUE), '') AS text FROM w LEFT JOIN k ON w.row = k.row GROUP BY w.row"""
 )
 def dedupe_consecutive(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", F.array_join(N.dedupe_consecutive(_ascii_words(F.lower(F.substring("text", 1, 256)))), " ").alias("text"))
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(N.dedupe_consecutive(_ascii_words(F.lower("text"))), " ").alias("text"))
 
 
-@query(f"""SELECT doc_id, list_filter(list_transform(string_split(lower(substr(text, 1, 128)), ','), lambda p: array_to_string({_WORDS.format("p")}, ' ')), lambda p: p <> '') AS parts FROM documents""")
+@query(f"""SELECT doc_id, list_filter(list_transform(string_split(lower(text), ','), lambda p: array_to_string({_WORDS.format("p")}, ' ')), lambda p: p <> '') AS parts FROM documents""")
 def address_components(spark, d):
-    parts = F.transform(F.split(F.lower(F.substring("text", 1, 128)), ","), lambda p: F.array_join(_ascii_words(p), " "))
+    parts = F.transform(F.split(F.lower("text"), ","), lambda p: F.array_join(_ascii_words(p), " "))
     return V.table(spark, d, "documents").select("doc_id", F.filter(parts, lambda p: p != "").alias("parts"))
 
 
@@ -264,7 +265,7 @@ def dense_topk(spark, d):
     return dense.top_k(V.dense_records(spark, d), 20)
 
 
-@query(f"""WITH {V.DENSE}, dp AS (SELECT q, p FROM (SELECT a.entity_id AS q, 'S2-' || lpad((substr(a.entity_id, 4)::BIGINT + 1)::VARCHAR, 6, '0') AS p FROM dense a WHERE a.source = 'S1'))
+@query(f"""WITH {V.DENSE}, dp AS (SELECT q, p FROM (SELECT a.entity_id AS q, 'S2-' || lpad((substr(a.entity_id, 4)::BIGINT + 1)::VARCHAR, greatest(6, length((substr(a.entity_id, 4)::BIGINT + 1)::VARCHAR))::INT, '0') AS p FROM dense a WHERE a.source = 'S1'))
 SELECT q, p, round({_DOT}, 6) AS cos FROM dp LEFT JOIN dense a ON a.entity_id = q LEFT JOIN dense b ON b.entity_id = p""")
 def dense_pair_cos(spark, d):
     r = V.dense_records(spark, d)
@@ -279,42 +280,32 @@ def dense_topk_cells(spark, d):
 
 # ---- candidates and their recall
 
-_UNION = "WITH " + _TOPK.replace("{text}", "sparse_text").replace("{name}", "top_s").replace("{k}", "20") + """, ranked_d AS (
+_UNION = "WITH " + _TOPK.replace("{text}", "sparse_text").replace("{name}", "top_s").replace("{k}", "20") + """, """ + V.SIDES + """, ranked_d AS (
   SELECT q, p, source, score, row_number() OVER (PARTITION BY q, source ORDER BY score DESC, p) AS rank
-  FROM (SELECT a.entity_id AS q, b.entity_id AS p, b.source, round(1.0 / (1 + abs(length(a.name_text) - length(b.name_text)) + abs(a.id - b.id)), 6) AS score
-        FROM (SELECT *, substr(entity_id, 4)::BIGINT AS id FROM records) a JOIN (SELECT *, substr(entity_id, 4)::BIGINT AS id FROM records) b ON a.ckey = b.ckey AND a.id // 60 = b.id // 60
-        WHERE a.source = 'S1' AND b.source <> 'S1')
+  FROM (SELECT q, p, source, round(1.0 / (1 + gap), 6) AS score FROM pairs)
   QUALIFY rank <= 5
 ), combined AS (
-  SELECT q, p, source, max(s) AS sparse_score, coalesce(min(sr), 0)::INT AS sparse_rank, max(d) AS dense_score, coalesce(min(dr), 0)::INT AS dense_rank
+  SELECT q, p, source, max(s) AS sparse_score, coalesce(min(sr), 0)::INT AS sparse_rank, max(d) AS near_score, coalesce(min(dr), 0)::INT AS near_rank
   FROM (SELECT q, p, source, score AS s, rank AS sr, NULL AS d, NULL AS dr FROM top_s UNION ALL SELECT q, p, source, NULL, NULL, score, rank FROM ranked_d) GROUP BY q, p, source
-), truth_pairs AS (
-  SELECT a.entity_id AS q, b.entity_id AS p, a.ckey AS country FROM records a JOIN records b ON a.ckey = b.ckey AND a.name_text = b.name_text WHERE a.source = 'S1' AND b.source <> 'S1'
-), found AS (
-  SELECT t.q, t.p, t.country, split_part(t.p, '-', 1) AS source, c.q IS NOT NULL AS hit, coalesce(sparse_rank, 0) AS sparse_rank, coalesce(dense_rank, 0) AS dense_rank
+), """ + V.REPLIES + """, found AS (
+  SELECT t.q, t.p, t.country, split_part(t.p, '-', 1) AS source, c.q IS NOT NULL AS hit, coalesce(sparse_rank, 0) AS sparse_rank, coalesce(near_rank, 0) AS near_rank
   FROM truth_pairs t LEFT JOIN combined c ON t.q = c.q AND t.p = c.p
 )"""
 
 
 def _near(spark, d):
-    """A second channel, which the tables have no embeddings for: records of like length nearby in the table."""
-    r = V.records(spark, d).withColumn("id", F.substring("entity_id", 4, 20).cast("long")).withColumn("block", F.floor(F.col("id") / 60))
-    a = r.where("source = 'S1'").select("ckey", "block", F.col("entity_id").alias("q"), F.col("id").alias("i"), F.length("name_text").alias("m"))
-    b = r.where("source <> 'S1'").select("ckey", "block", "source", F.col("entity_id").alias("p"), F.col("id").alias("j"), F.length("name_text").alias("n"))
-    score = F.round(1.0 / (1 + F.abs(F.col("m") - F.col("n")) + F.abs(F.col("i") - F.col("j"))), 6)
+    """The second channel: the nearest records in the order of names."""
+    score = F.round(1.0 / (1 + F.col("gap")), 6)
     w = sampling.W.partitionBy("q", "source").orderBy(F.col("score").desc(), "p")
-    return a.join(b, ["ckey", "block"]).withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("q", "p", "source", "score", "rank")
+    return V.pairs(spark, d).withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("q", "p", "source", "score", "rank")
 
 
 def _combined(spark, d):
-    return blocking.combine({"sparse": _channel(spark, d, "sparse_text", 20), "dense": _near(spark, d)})
+    return blocking.combine({"sparse": _channel(spark, d, "sparse_text", 20), "near": _near(spark, d)})
 
 
 def _found(spark, d):
-    r = V.records(spark, d)
-    a = r.where("source = 'S1'").select("ckey", "name_text", F.col("entity_id").alias("q"))
-    b = r.where("source <> 'S1'").select("ckey", "name_text", F.col("entity_id").alias("p"))
-    return blocking.found_truth(a.join(b, ["ckey", "name_text"]).select("q", "p", F.col("ckey").alias("country")), _combined(spark, d))
+    return blocking.found_truth(V.replies(spark, d), _combined(spark, d))
 
 
 @query(_UNION + " SELECT * FROM combined")
@@ -338,20 +329,20 @@ def recall(spark, d):
 
 @query(
     _UNION
-    + """, each AS (SELECT source, 'sparse' AS channel, sparse_rank > 0 AS h, sparse_rank > 0 AND dense_rank = 0 AS u FROM found UNION ALL SELECT source, 'dense', dense_rank > 0, dense_rank > 0 AND sparse_rank = 0 FROM found)
+    + """, each AS (SELECT source, 'sparse' AS channel, sparse_rank > 0 AS h, sparse_rank > 0 AND near_rank = 0 AS u FROM found UNION ALL SELECT source, 'near', near_rank > 0, near_rank > 0 AND sparse_rank = 0 FROM found)
 SELECT channel, source, count(*) AS n, round(avg(h::INT), 4) AS recall, sum(u::INT)::BIGINT AS unique_hits FROM each GROUP BY ALL UNION ALL SELECT channel, '', count(*), round(avg(h::INT), 4), sum(u::INT)::BIGINT FROM each GROUP BY channel"""
 )
 def recall_by_channel(spark, d):
-    return blocking.recall_by_channel(_found(spark, d), ["sparse", "dense"])
+    return blocking.recall_by_channel(_found(spark, d), ["sparse", "near"])
 
 
 @query(
     _UNION
     + """ SELECT 'sparse' AS channel, k, round(avg((sparse_rank BETWEEN 1 AND k)::INT), 4) AS recall FROM found, (VALUES (1), (5), (10), (20)) ks(k) GROUP BY k
-UNION ALL SELECT 'dense', k, round(avg((dense_rank BETWEEN 1 AND k)::INT), 4) FROM found, (VALUES (1), (5), (10), (20)) ks(k) GROUP BY k"""
+UNION ALL SELECT 'near', k, round(avg((near_rank BETWEEN 1 AND k)::INT), 4) FROM found, (VALUES (1), (5), (10), (20)) ks(k) GROUP BY k"""
 )
 def recall_at_k(spark, d):
-    return blocking.recall_at_k(_found(spark, d), ["sparse", "dense"])
+    return blocking.recall_at_k(_found(spark, d), ["sparse", "near"])
 
 
 @query(_UNION + " SELECT count(*) AS n_entities, round(avg(a::INT), 4) AS entity_full_recall FROM (SELECT q, bool_and(hit) AS a FROM found GROUP BY q)")
@@ -388,9 +379,22 @@ _TOKENS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda t: t <> '')"
 _JACC = "len(list_intersect({a}, {b})) / nullif(len(list_distinct(list_concat({a}, {b}))), 0)"
 
 
-def _pairs(spark, d):
-    """q, p with names and addresses whose digits and words are separated, so that tokens are not only letters."""
-    return V.pairs(spark, d).where("source = 'S2'")
+def _digits(c):
+    """Vowels as digits, so that there are numbers to compare."""
+    return F.translate(c, "aeiou", "12345")
+
+
+def _sides(spark, d):
+    """The pairs as features.text_features wants them: names without other characters than letters and blanks, addresses with digits."""
+    p = V.pairs(spark, d).select("q", "p", *[F.regexp_replace(f"{x}_name", "[^a-z ]", "").alias(f"{x}_name") for x in "ab"], *[_digits(f"{x}_addr").alias(f"{x}_addr") for x in "ab"])
+    comps = lambda x: F.filter(F.transform(F.split(f"{x}_addr", ","), lambda c: F.trim(c)), lambda c: c != "")
+    return p.withColumns({f"{x}_core": N.core_name(F.col(f"{x}_name")) for x in "ab"} | {f"{x}_comps": comps(x) for x in "ab"})
+
+
+def _library(spark, d, *names):
+    """Features of the library by name, over all pairs."""
+    f = features.text_features()
+    return _sides(spark, d).select("q", "p", *[F.round(f[n], 6).alias(n) for n in names])
 
 
 def _retrieved(spark, d):
@@ -401,50 +405,107 @@ def _retrieved(spark, d):
     return found.join(side("q", "a_name"), "q").join(side("p", "b_name"), "p")
 
 
-_P = f"WITH {V.PAIRS}, chosen AS (SELECT * FROM pairs WHERE source = 'S2')"
+_P = f"WITH {V.PAIRS}, chosen AS (SELECT * FROM pairs)"
+_LEGAL = "[" + ", ".join(f"'{t}'" for t in T.LEGAL_TOKENS) + "]"
+_LETTERS = "regexp_replace({}, '[^a-z ]', '', 'g')"
+_CORE = f"coalesce(nullif(array_to_string(list_filter(string_split({{0}}, ' '), lambda t: NOT list_contains({_LEGAL}, t)), ' '), ''), {{0}})"
+_SIDED = (
+    f"""WITH {V.PAIRS}, named AS (
+  SELECT q, p, {_LETTERS.format("a_name")} AS n1, {_LETTERS.format("b_name")} AS n2, translate(a_addr, 'aeiou', '12345') AS d1, translate(b_addr, 'aeiou', '12345') AS d2 FROM pairs
+), cored AS (
+  SELECT *, {_CORE.format("n1")} AS c1, {_CORE.format("n2")} AS c2 FROM named
+), sided AS (
+  SELECT *, """
+    + ", ".join(f"{_TOKENS.format(x + k)} AS t{x}{k}" for x in "ncd" for k in "12")
+    + ", "
+    + ", ".join(f"regexp_extract_all({x}{k}, '[0-9]+') AS u{x}{k}" for x in "nd" for k in "12")
+    + ", "
+    + ", ".join(f"list_filter(list_transform(string_split(d{k}, ','), lambda c: trim(c)), lambda c: c <> '') AS p{k}" for k in "12")
+    + " FROM cored)"
+)
 
 
-@query(
-    _P
-    + """, plain AS (SELECT q, p, regexp_replace(a_name, '[^a-z ]', '', 'g') AS a, regexp_replace(b_name, '[^a-z ]', '', 'g') AS b FROM chosen)
-SELECT q, p, round(coalesce(1 - levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 1), 6) AS name_lev, round(least(length(a), length(b)) / nullif(greatest(length(a), length(b)), 0), 6) AS name_len_ratio FROM plain"""
-)
+def _jacc(a, b):
+    return f"round({_JACC.format(a=a, b=b)}, 6)"
+
+
+def _both(a, b, then):
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN {then} END"
+
+
+def _from_sides(**columns):
+    return _SIDED + " SELECT q, p, " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + " FROM sided"
+
+
+def _lev(a, b):
+    return f"round(coalesce(1 - levenshtein({a}, {b}) / nullif(greatest(length({a}), length({b})), 0), 1), 6)"
+
+
+def _ratio(a, b):
+    return f"CASE WHEN {a} <> '' AND {b} <> '' THEN round(least(length({a}), length({b})) / greatest(length({a}), length({b})), 6) END"
+
+
+@query(_from_sides(name_lev=_lev("n1", "n2"), core_lev=_lev("c1", "c2"), name_len_ratio=_ratio("n1", "n2"), addr_len_ratio=_ratio("d1", "d2")))
 def lev_features(spark, d):
-    a, b = (F.regexp_replace(c, "[^a-z ]", "") for c in ("a_name", "b_name"))
-    return _pairs(spark, d).select("q", "p", F.round(features.levenshtein_similarity(a, b), 6).alias("name_lev"), F.round(features.length_ratio(a, b), 6).alias("name_len_ratio"))
+    return _library(spark, d, "name_lev", "core_lev", "name_len_ratio", "addr_len_ratio")
+
+
+_SHARED = "len(list_intersect({a}, {b})) / least(len(list_distinct({a})), len(list_distinct({b})))"
 
 
 @query(
-    _P
-    + f""", t AS (SELECT q, p, {_TOKENS.format("a_name")} AS a, {_TOKENS.format("b_name")} AS b FROM chosen)
-SELECT q, p, round({_JACC.format(a="a", b="b")}, 6) AS name_jacc, len(list_intersect(a, b)) / nullif(least(len(list_distinct(a)), len(list_distinct(b))), 0) AS contain, abs(len(a) - len(b)) AS ntok_diff, coalesce(a[1] = b[1], FALSE) AS first_tok FROM t"""
-)
+    _from_sides(
+        name_jacc=_jacc("tn1", "tn2"), core_jacc=_jacc("tc1", "tc2"), addr_jacc=_jacc("td1", "td2"), addr_contain=_both("td1", "td2", f"round({_SHARED.format(a='td1', b='td2')}, 6)"),
+        name_ntok_diff="abs(len(tn1) - len(tn2))::DOUBLE", name_first_tok="coalesce((tc1[1] = tc2[1])::DOUBLE, 0.0)",
+    )
+)
 def jaccard_features(spark, d):
-    a, b = (N.words(F.col(c)) for c in ("a_name", "b_name"))
-    size = lambda x: F.size(F.array_distinct(x))
-    return _pairs(spark, d).select("q", "p", F.round(features.jaccard(a, b), 6).alias("name_jacc"), (F.size(F.array_intersect(a, b)) / F.nullif(F.least(size(a), size(b)), F.lit(0))).alias("contain"), F.abs(F.size(a) - F.size(b)).alias("ntok_diff"), F.coalesce(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), F.lit(False)).alias("first_tok"))
+    return _library(spark, d, "name_jacc", "core_jacc", "addr_jacc", "addr_contain", "name_ntok_diff", "name_first_tok")
 
 
-_NUMBERED = "(SELECT q, p, regexp_extract_all(translate(a_addr, 'aeiou', '12345'), '[0-9]+') AS a, regexp_extract_all(translate(b_addr, 'aeiou', '12345'), '[0-9]+') AS b FROM chosen)"
+_LONG = "list_filter({}, lambda x: length(x) >= 4)[-1]"
 
 
 @query(
-    _P
-    + f""" SELECT q, p, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round({_JACC.format(a="a", b="b")}, 6) END AS addr_num_jacc,
-CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) END AS addr_num_overlap, CASE WHEN len(a) > 0 AND len(b) > 0 THEN (a[1] = b[1])::INT END AS addr_first_num,
-(list_filter(a, lambda x: length(x) >= 2)[-1] = list_filter(b, lambda x: length(x) >= 2)[-1])::INT AS addr_last_num FROM {_NUMBERED}"""
-)
+    _from_sides(
+        addr_num_jacc=_both("ud1", "ud2", _jacc("ud1", "ud2")), addr_num_overlap=_both("ud1", "ud2", "len(list_intersect(ud1, ud2))::DOUBLE"), addr_num_conflict=_both("ud1", "ud2", "(len(list_intersect(ud1, ud2)) = 0)::DOUBLE"),
+        addr_first_num=_both("ud1", "ud2", "(ud1[1] = ud2[1])::DOUBLE"), addr_last_num=_both("ud1", "ud2", f"({_LONG.format('ud1')} = {_LONG.format('ud2')})::DOUBLE"), name_num_match=_both("un1", "un2", "list_has_any(un1, un2)::DOUBLE"),
+    )
+)
 def num_features(spark, d):
-    a, b = (N.numbers(F.translate(c, "aeiou", "12345")) for c in ("a_addr", "b_addr"))
-    both = (F.size(a) > 0) & (F.size(b) > 0)
-    last = lambda x: F.try_element_at(F.filter(x, lambda t: F.length(t) >= 2), F.lit(-1))
-    return _pairs(spark, d).select("q", "p", F.when(both, F.round(features.jaccard(a, b), 6)).alias("addr_num_jacc"), F.when(both, F.size(F.array_intersect(a, b))).alias("addr_num_overlap"), F.when(both, (F.get(a, F.lit(0)) == F.get(b, F.lit(0))).cast("int")).alias("addr_first_num"), (last(a) == last(b)).cast("int").alias("addr_last_num"))
+    return _library(spark, d, "addr_num_jacc", "addr_num_overlap", "addr_num_conflict", "addr_first_num", "addr_last_num", "name_num_match")
+
 
+_IN_OTHER = "({a} <> '' AND {b} <> '' AND (contains({a}, {b}) OR contains({b}, {a})))::DOUBLE"
+_OF_LEGAL = f"list_sort(list_intersect({{}}, {_LEGAL}))"
 
-@query(_P + " SELECT q, p, (a_name = b_name AND a_name <> '')::INT AS name_exact, (a_name <> '' AND b_name <> '' AND (contains(a_name, b_name) OR contains(b_name, a_name)))::INT AS contained, (a_addr = '')::INT AS addr_missing FROM chosen")
+
+@query(
+    _from_sides(
+        name_exact="(n1 = n2 AND n1 <> '')::DOUBLE", core_exact="(c1 = c2 AND c1 <> '')::DOUBLE", core_contained=_IN_OTHER.format(a="c1", b="c2"), addr_missing_s1="(d1 = '')::DOUBLE", addr_missing_cand="(d2 = '')::DOUBLE",
+        legal_match=_both(_OF_LEGAL.format("tn1"), _OF_LEGAL.format("tn2"), f"({_OF_LEGAL.format('tn1')} = {_OF_LEGAL.format('tn2')})::DOUBLE"),
+    )
+)
 def exact_contains(spark, d):
-    a, b = F.col("a_name"), F.col("b_name")
-    return _pairs(spark, d).select("q", "p", ((a == b) & (a != "")).cast("int").alias("name_exact"), ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))).cast("int").alias("contained"), (F.col("a_addr") == "").cast("int").alias("addr_missing"))
+    return _library(spark, d, "name_exact", "core_exact", "core_contained", "addr_missing_s1", "addr_missing_cand", "legal_match")
+
+
+_TAIL = _TOKENS.format("array_to_string({}[-2:], ' ')")
+
+
+@query(_from_sides(addr_comp_jacc=_both("p1", "p2", _jacc("p1", "p2")), addr_tail_jacc=_both("p1", "p2", _jacc(_TAIL.format("p1"), _TAIL.format("p2")))))
+def component_features(spark, d):
+    return _library(spark, d, "addr_comp_jacc", "addr_tail_jacc")
+
+
+@query(_from_sides(name_jw="round(jaro_winkler_similarity(n1, n2), 6)"))
+def jaro_winkler(spark, d):
+    return _library(spark, d, "name_jw")
+
+
+@query()
+def lcsub(spark, d):
+    return _library(spark, d, "name_lcsub", "addr_lcsub")
 
 
 _TIDF = f""", texts AS (SELECT entity_id, lower(business_name) AS name FROM entities), tn AS (SELECT count(*) AS n FROM texts),
@@ -468,29 +529,7 @@ def token_idf(spark, d):
 SELECT s.q, s.p, w.name_wjacc FROM chosen s LEFT JOIN (SELECT q, p, round(sum(CASE WHEN list_contains(a, token) AND list_contains(b, token) THEN idf ELSE 0 END) / sum(idf), 6) AS name_wjacc FROM u JOIN tidf USING (token) GROUP BY q, p) w ON s.q = w.q AND s.p = w.p"""
 )
 def weighted_jaccard(spark, d):
-    return features.weighted_jaccard(_pairs(spark, d), "a_name", "b_name", _token_idf(spark, d), "name_wjacc").select("q", "p", "name_wjacc")
-
-
-_NAMES = "(SELECT a.s_suppkey AS q, b.p_partkey AS p, lower(a.s_name) AS a, lower(b.p_name) AS b FROM supplier a JOIN part b ON b.p_partkey % 50 = a.s_suppkey % 50)"
-
-
-def _name_pairs(spark, d):
-    a = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("q"), F.lower("s_name").alias("a"), (F.col("s_suppkey") % 50).alias("k"))
-    b = V.table(spark, d, "part").select(F.col("p_partkey").alias("p"), F.lower("p_name").alias("b"), (F.col("p_partkey") % 50).alias("k"))
-    return a.join(b, "k").select("q", "p", "a", "b")
-
-
-@query(f"SELECT q, p, round(jaro_winkler_similarity(a, b), 6) AS name_jw FROM {_NAMES}")
-def jaro_winkler(spark, d):
-    return _name_pairs(spark, d).select("q", "p", F.round(S.jaro_winkler(F.col("a"), F.col("b")), 6).alias("name_jw"))
-
-
-@query(
-    f"""WITH n AS (SELECT * FROM {_NAMES}), subs AS (SELECT DISTINCT q, p, b, a, substr(a, i, l) AS s FROM n, range(1, 41) r(i), range(1, 41) m(l) WHERE i + l - 1 <= length(a))
-SELECT n.q, n.p, round(coalesce(max(length(s)), 0) / least(length(any_value(n.a)), length(any_value(n.b))), 6) AS name_lcsub FROM n LEFT JOIN subs ON n.q = subs.q AND n.p = subs.p AND contains(subs.b, s) GROUP BY n.q, n.p"""
-)
-def lcsub(spark, d):
-    return _name_pairs(spark, d).select("q", "p", F.round(S.common_substring(F.col("a"), F.col("b")), 6).alias("name_lcsub"))
+    return features.weighted_jaccard(V.pairs(spark, d), "a_name", "b_name", _token_idf(spark, d), "name_wjacc").select("q", "p", "name_wjacc")
 
 
 @query()
@@ -521,7 +560,7 @@ def acronym(spark, d):
 _COS = """, few AS (SELECT q, p, source, ckey AS part FROM pairs), coss AS (
   SELECT f.*, coalesce(c.cos, 0.0) AS cos FROM few f LEFT JOIN (
     SELECT f.q, f.p, round(sum(a.w * b.w), 6) AS cos FROM few f JOIN full_v a ON a.entity_id = f.q JOIN full_v b ON b.entity_id = f.p AND b.gram = a.gram GROUP BY f.q, f.p) c ON f.q = c.q AND f.p = c.p)"""
-_PAIR_COS = _sql(_VECTORS, "sparse_text") + ", " + V.PAIRS.split("documents), ", 1)[1] + _COS
+_PAIR_COS = _sql(_VECTORS, "sparse_text") + ", " + V.SIDES + _COS
 
 
 def _pair_cos(spark, d):
