@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--inputs", nargs="+", required=True)
     c.add_argument("--ngram-range", nargs=2, type=int, default=(2, 4))
     add("block", "s1 s2 s3 output", idf=None, detail=None, report=None, truth=None, embeddings=None, k_sparse=20, k_sparse_name=10, k_dense=20, top_features=48, max_df_frac=0.02)
-    add("train", "s1 s2 s3 idf detail truth model output", embeddings=None, top_k=10, floor=0.01, no_match=0.01, rounds=40, depth=5, rate=0.1, folds=5, es_share=0.15)
+    add("train", "s1 s2 s3 idf detail truth model output", embeddings=None, top_k=10, floor=0.01, no_match=0.01, rounds=40, depth=5, rate=0.1, folds=5, es_share=0.15).add_argument("--ablation", action="store_true")
     add("predict", "s1 s2 s3 idf detail model output", embeddings=None)
     add("score", "filtered model output", truth=None)
     add("tune", "scores s1 truth output", matches=None, sweep=None)
@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if command == "predict":
             stages.predict(spark, feats, a["model"], q, a["output"])
         else:
-            how = {k: a[k] for k in ("top_k", "floor", "no_match", "rounds", "depth", "rate", "es_share")}
+            how = {k: a[k] for k in ("top_k", "floor", "no_match", "rounds", "depth", "rate", "es_share", "ablation")}
             print(json.dumps(stages.train(spark, feats, a["truth"], a["model"], a["output"], q, folds=a["folds"], **how), default=str))
     elif command == "score":
         stages.second(spark, a["filtered"], a["output"], a["model"], a["truth"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import strings as S
 from ..functions.tables import LEGAL_TOKENS
+from .tables import kept
 
 FEATURE_GROUPS = {
     "stage1": ["sparse_score", "sparse_rank", "sparse_name_score", "sparse_name_rank", "dense_rank", "n_channels", "cand_is_s3", "same_country"],
@@ -116,20 +117,22 @@ def build(pairs: DataFrame, records: DataFrame, full_vectors: DataFrame, name_ve
         raise ValueError("pairs name records that are not there")
     have = lambda c: F.col(c) if c in pairs.columns else F.lit(None)
     ranks = [c for c in pairs.columns if c.endswith("_rank")]
-    # every group of features is a table of its own by (q, p), made from the pairs and not from one another
-    base = pairs.join(side("a", "q"), "q").join(side("b", "p"), "p")
+    # every group of features is a table of its own by (q, p), made from the pairs and not from one another; what several need is written
+    # once, so that no plan holds more than one group
+    pairs = kept(pairs)
+    base = kept(pairs.join(side("a", "q"), "q").join(side("b", "p"), "p"))
     stage1 = {c: have(c).cast("double") for c in ("sparse_score", "sparse_name_score")} | {c: F.nullif(have(c).cast("double"), F.lit(0.0)) for c in ("sparse_rank", "sparse_name_rank", "dense_rank")}
     stage1 |= {"n_channels": sum(((F.coalesce(F.col(c), F.lit(0)) > 0).cast("double") for c in ranks), F.lit(0.0)), "cand_is_s3": (F.col("source") == "S3").cast("double"), "same_country": (F.col("a_ckey") == F.col("b_ckey")).cast("double")}
-    d = base.select("q", "p", "source", *[c.alias(n) for n, c in (stage1 | text_features()).items()])
+    d = kept(base.select("q", "p", "source", *[c.alias(n) for n, c in (stage1 | text_features()).items()]))
     used = pairs.select(F.explode(F.array("q", "p")).alias("entity_id")).distinct().join(records, "entity_id")
     for a, b, text, out in (("a_name", "b_name", "name", "name_wjacc"), ("a_addr", "b_addr", "addr", "addr_wjacc")):
         d = d.join(weighted_jaccard(base.select("q", "p", a, b), a, b, token_idf(used, text), out).select("q", "p", out), ["q", "p"])
     placed = base.select("q", "p", F.col("a_ckey").alias("part"), F.col("b_ckey"))
-    full = pair_cosine(placed, "q", "p", full_vectors, "full_tfidf_cos").select("q", "p", "b_ckey", "full_tfidf_cos")
+    full = kept(pair_cosine(placed, "q", "p", full_vectors, "full_tfidf_cos").select("q", "p", "b_ckey", "full_tfidf_cos"))
     d = d.join(full.drop("b_ckey"), ["q", "p"]).join(pair_cosine(placed, "q", "p", name_vectors, "name_tfidf_cos").select("q", "p", "name_tfidf_cos"), ["q", "p"])
     d = dense_cosine(d, "q", "p", embeddings, "bge_m3_cos") if embeddings is not None else d.withColumn("bge_m3_cos", F.lit(None).cast("double"))
     first = W.partitionBy("q").orderBy(F.coalesce("full_tfidf_cos", F.lit(0.0)).desc(), "p").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     tops = full.select("q", "p", F.col("b_ckey").alias("part"), F.first("p").over(first).alias("top_p"))
     to_top = pair_cosine(tops, "p", "top_p", full_vectors, "sim_to_top1").select("q", "p", F.when(F.col("p") != F.col("top_p"), F.col("sim_to_top1")).alias("sim_to_top1"))
-    d = structure(d).join(to_top, ["q", "p"])
+    d = structure(kept(d)).join(to_top, ["q", "p"])
     return d.select("q", "p", *FEATURES)

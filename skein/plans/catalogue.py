@@ -8,6 +8,7 @@ from ..functions import normalize as N
 from ..functions import strings as S
 from ..functions import tables as T
 from ..operators import blocking, decision, dense, features, filtering, metrics, records, sampling, scorer, tfidf
+from ..operators.tables import kept
 from . import views as V
 
 QUERIES: dict = {}
@@ -273,6 +274,19 @@ def dense_pair_cos(spark, d):
     return dense.pair_cosine(r.where("source = 'S1'").select(F.col("entity_id").alias("q"), p.alias("p")), "q", "p", r, "cos").select("q", "p", "cos")
 
 
+def _encoded(spark, d):
+    """Embeddings of the records by the encoder that needs no model."""
+    e = V.entities(spark, d)
+    texts = e.select("entity_id", N.dense_text(F.lower("business_name"), F.lower("business_address")).alias("dense_text"))
+    return dense.encode(texts, dense.hashed_ngrams()).select("entity_id", "embedding")
+
+
+@query()
+def encoded_topk(spark, d):
+    r = V.records(spark, d).select("entity_id", "source", "ckey")
+    return dense.top_k_by_size(r.join(_encoded(spark, d), "entity_id"), 20)
+
+
 @query()
 def dense_topk_cells(spark, d):
     return dense.top_k_by_cells(V.dense_records(spark, d), 20)
@@ -614,16 +628,15 @@ def sim_to_top1(spark, d):
 
 
 def _featured(spark, d):
-    # a cached table keeps the optimizer from repeating the normalisation in every expression that uses it
-    r = records.normalized(V.entities(spark, d), ascii_only=True).cache()
-    comps = V.entities(spark, d).select("entity_id", N.address_parts(F.col("business_address"), F.col("country"), ascii_only=True).alias("comps"))
+    r = kept(records.normalized(V.entities(spark, d), ascii_only=True))
+    comps = kept(V.entities(spark, d).select("entity_id", N.address_parts(F.col("business_address"), F.col("country"), ascii_only=True).alias("comps")))
     v = {}
     for text in ("sparse_text", "name_text"):
         counts = tfidf.gram_counts(r, text, ["ckey", "source", "entity_id"])
-        v[text] = tfidf.vectors(counts, tfidf.fit_idf(counts, r, ["ckey"]), ["ckey"], ["source", "entity_id"]).select(F.col("ckey").alias("part"), "entity_id", "gram", "w")
-    s = V.labelled(_retrieved(spark, d)).cache()
+        v[text] = kept(tfidf.vectors(counts, tfidf.fit_idf(counts, r, ["ckey"]), ["ckey"], ["source", "entity_id"]).select(F.col("ckey").alias("part"), "entity_id", "gram", "w"))
+    s = kept(V.labelled(_retrieved(spark, d)))
     pairs = s.drop("a_name", "b_name", "score", "label")
-    return features.build(pairs, r.join(comps, "entity_id"), v["sparse_text"], v["name_text"], V.dense_records(spark, d)).join(s.select("q", "p", "label"), ["q", "p"])
+    return kept(features.build(pairs, r.join(comps, "entity_id"), v["sparse_text"], v["name_text"], _encoded(spark, d)).join(s.select("q", "p", "label"), ["q", "p"]))
 
 
 @query()
@@ -884,20 +897,20 @@ _SOME = ["sparse_score", "name_lev", "name_jacc", "name_tset", "name_lcsub", "ad
 
 @query()
 def gbt_score(spark, d):
-    x = _featured(spark, d).cache()
+    x = _featured(spark, d)
     model = scorer.fit_trees(x, _SOME)
     return scorer.score(x, model, _SOME).select("q", "p", "label", "score")
 
 
 @query()
 def oof_scores(spark, d):
-    x = _featured(spark, d).cache()
+    x = _featured(spark, d)
     return scorer.out_of_fold(x, _SOME).select("q", "p", "label", "score")
 
 
 @query()
 def platt(spark, d):
-    x = _featured(spark, d).cache()
+    x = _featured(spark, d)
     z = scorer.second_logit(x, scorer.fit_second(x, _SOME), _SOME)
     a, b = scorer.fit_platt(z)
     return z.select("q", "p", "label", decision.sigmoid(a * F.col("raw_logit") + b).alias("score"))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocking, decision, dense, features, filtering, metrics, records, sampling, scorer, tfidf
+from ..operators.tables import kept
 from ..sources import files
+from . import reports
 
 FIELDS = {"sparse": "sparse_text", "sparse_name": "name_text"}
 
@@ -31,13 +33,12 @@ def _labelled(pairs: DataFrame, truth: DataFrame) -> DataFrame:
 
 def fit_idf(spark: SparkSession, inputs: list[str], output: str, ngrams: tuple[int, int] = (2, 4), min_df: int = 2) -> None:
     """IDF by country of both text fields, from all rows of all inputs."""
-    r = records.normalized(_read(spark, *inputs)).cache()
+    r = kept(records.normalized(_read(spark, *inputs)))
     parts = []
     for text in FIELDS.values():
         counts = tfidf.gram_counts(r, text, ["source", "ckey", "entity_id"], *ngrams)
         parts.append(tfidf.fit_idf(counts, r, ["ckey"], min_df).withColumn("field", F.lit(text)))
     files.write_idf(reduce(DataFrame.unionByName, parts), output)
-    r.unpersist()
 
 
 def block(spark: SparkSession, s1: str, s2: str, s3: str, output: str, idf: str | None = None, detail: str | None = None, report: str | None = None, truth: str | None = None, embeddings: str | None = None, k_sparse: int = 20, k_sparse_name: int = 10, k_dense: int = 20, top_features: int = 48, max_df_frac: float = 0.02) -> dict:
@@ -45,7 +46,7 @@ def block(spark: SparkSession, s1: str, s2: str, s3: str, output: str, idf: str
     files.require(spark, s1, s2, s3, idf, truth, embeddings)
     if idf is None and embeddings is None:
         raise ValueError("neither idf nor embeddings: no retrieval channel is left")
-    r = records.normalized(_read(spark, s1, s2, s3)).cache()
+    r = kept(records.normalized(_read(spark, s1, s2, s3)))
     q = r.where("source = 'S1'")
     channels = {}
     if idf:
@@ -58,28 +59,30 @@ def block(spark: SparkSession, s1: str, s2: str, s3: str, output: str, idf: str
     if embeddings:
         e = spark.read.parquet(embeddings).select("entity_id", "embedding")
         placed = tfidf.spread(r.select("entity_id", "source", "ckey"), tfidf.search_countries(q)).drop("ckey").withColumnRenamed("part", "ckey")
-        channels["dense"] = dense.top_k(placed.join(e, "entity_id"), k_dense)
-    pairs = blocking.combine(channels).cache()
+        channels["dense"] = dense.top_k_by_size(placed.join(e, "entity_id"), k_dense)
+    pairs = kept(blocking.combine(channels))
     files.write_tsv(blocking.candidate_lists(q, pairs), output)
     if detail:
         files.write_detail(pairs, detail)
     said = {"channels": sorted(channels), **blocking.reduction_ratio(r, pairs).first().asDict(), **blocking.candidate_quantiles(q, pairs).first().asDict()}
     if truth:
         true, _ = _truth(spark, truth)
-        hits = blocking.found_truth(true.join(q.select(F.col("entity_id").alias("q"), F.col("ckey").alias("country")), "q"), pairs).cache()
+        hits = kept(blocking.found_truth(true.join(q.select(F.col("entity_id").alias("q"), F.col("ckey").alias("country")), "q"), pairs))
         rows = lambda df: [x.asDict() for x in df.collect()]  # noqa: E731  a row for each source, country, channel or k
         said |= {"recall": rows(blocking.recall(hits)), "by_channel": rows(blocking.recall_by_channel(hits, list(channels))), "at_k": rows(blocking.recall_at_k(hits, list(channels)))} | blocking.entity_full_recall(hits).first().asDict()
     if report:
         files.write_json(spark, said, report)
+        reports.write_text(spark, reports.text("Blocking", said), f"{report}-text")
     return said
 
 
 def featurize(spark: SparkSession, s1: list[str], s2: str, s3: str, idf: str, details: list[str], embeddings: str | None = None) -> DataFrame:
     """(q, p, FEATURES...) of the pairs of all details; S1 files are featurised together, so that queries see each other's candidates."""
-    raw = records.first_by_id(_read(spark, *s1, s2, s3))
-    r = records.normalized(raw).cache()
+    raw = kept(records.first_by_id(_read(spark, *s1, s2, s3)))
+    r = kept(records.normalized(raw))
     pairs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [files.read_detail(spark, p) for p in details])
-    parts = records.with_address_parts(raw).select("entity_id", "comps")
+    pairs = kept(pairs)
+    parts = kept(records.with_address_parts(raw).select("entity_id", "comps"))
     vectors = {}
     for text in FIELDS.values():
         own = files.read_idf(spark, idf, text)
@@ -93,27 +96,36 @@ def featurize(spark: SparkSession, s1: list[str], s2: str, s3: str, idf: str, de
         mates = tops.select("part", "q").distinct().join(pairs.select("q", F.col("p").alias("entity_id")), "q").select("part", "entity_id")
         asked = asked.unionByName(mates).distinct()
         w = own.withColumnRenamed("ckey", "fitted").join(F.broadcast(used), "fitted").select(F.col("ckey").alias("part"), "gram", "idf")
-        vectors[text] = tfidf.vectors(counts.join(asked, "entity_id"), w, ["part"], ["part", "entity_id"]).select("part", "entity_id", "gram", "w")
+        vectors[text] = kept(tfidf.vectors(counts.join(kept(asked), "entity_id"), w, ["part"], ["part", "entity_id"]).select("part", "entity_id", "gram", "w"))
     e = files.embeddings_if_complete(spark, embeddings, r)
     return features.build(pairs, r.select("entity_id", "ckey", "name", "addr").join(parts, "entity_id"), vectors["sparse_text"], vectors["name_text"], e)
 
 
-def train(spark: SparkSession, feats: DataFrame, truth: str, model: str, filtered: str | None = None, queries: DataFrame | None = None, columns: list[str] | None = None, top_k: int = 10, floor: float = 0.01, no_match: float = 0.01, folds: int = 5, **how) -> dict:
-    """Fits the first scorer on feats, saves it with its settings, and writes the filtered lists of out-of-fold scores, if asked for."""
+def train(spark: SparkSession, feats: DataFrame, truth: str, model: str, filtered: str | None = None, queries: DataFrame | None = None, columns: list[str] | None = None, top_k: int = 10, floor: float = 0.01, no_match: float = 0.01, folds: int = 5, ablation: bool = False, **how) -> dict:
+    """Fits the first scorer on feats, saves it with its settings, importance table and report, and writes the filtered lists of
+    out-of-fold scores, if asked for. ablation: also says how well the features do that need no embeddings."""
     columns = columns or features.FEATURES
     true, sizes = _truth(spark, truth)
     # features are computed once, into a table, and every fit reads that
     _labelled(feats, true).write.mode("overwrite").parquet(f"{model}/features")
-    d = spark.read.parquet(f"{model}/features").cache()
+    d = spark.read.parquet(f"{model}/features")
     fitted = scorer.fit_trees(d, columns, **how)
     fitted.write().overwrite().save(f"{model}/trees")
+    gains = dict(scorer.importance(fitted, columns))
+    ranked = reports.importance_rows([(f, gains[f], n) for f, n in zip(columns, scorer.split_counts(fitted, columns))])
     files.write_json(spark, {"features": columns, "top_k": top_k, "floor": floor, "no_match": no_match, "importance": scorer.importance(fitted, columns)}, f"{model}/meta")
-    scored = scorer.out_of_fold(d, columns, folds, **how)
-    kept = filtering.keep_top(scored.select("q", "p", "score", "label"), top_k, floor, no_match).cache()
+    files.write_tsv(spark.createDataFrame([tuple(r.values()) for r in ranked], "feature string, gain double, split long, gain_pct double, gain_rank long, `group` string, dense_derived boolean").coalesce(1), f"{model}/importance")
+    scored = kept(scorer.out_of_fold(d, columns, folds, **how).select("q", "p", "score", "label"))
     if filtered and queries is not None:
-        files.write_tsv(filtering.filtered_lists(queries, kept), filtered)
-    own = sizes.join(d.select("q").distinct(), "q", "left_semi")
-    return metrics.class_balance(d).first().asDict() | filtering.filter_stats(kept.where("keep"), own).first().asDict() | metrics.average_precision(scored).first().asDict()
+        files.write_tsv(filtering.filtered_lists(queries, filtering.keep_top(scored, top_k, floor, no_match)), filtered)
+    own = kept(sizes.join(d.select("q").distinct(), "q", "left_semi"))
+    said = reports.training(scored, own, ranked, top_k, floor, no_match)
+    if ablation:
+        plain = [c for c in columns if c not in features.DENSE_DERIVED]
+        said["ablation_no_dense"] = metrics.average_precision(scorer.out_of_fold(d, plain, folds, **how)).first().asDict()
+    files.write_json(spark, said, f"{model}/report")
+    reports.write_text(spark, reports.text("First scorer", said | {"importance": ranked[:20]}), f"{model}/report-text")
+    return said
 
 
 def predict(spark: SparkSession, feats: DataFrame, model: str, queries: DataFrame, output: str) -> None:
@@ -129,7 +141,7 @@ CONTEXT = ["lgbm_score", "lgbm_rank", "lgbm_gap", "n_cands", "lgbm_logit", "is_s
 
 def second(spark: SparkSession, filtered: str, output: str, model: str, truth: str | None = None) -> None:
     """Scores of the second scorer for filtered lists; with truth, it is fitted and calibrated first, on separate queries."""
-    d = filtering.read_lists(files.read_tsv(spark, filtered, files.FILTERED)).cache()
+    d = kept(filtering.read_lists(files.read_tsv(spark, filtered, files.FILTERED)))
     if truth:
         y = sampling.grouped_split(_labelled(d, _truth(spark, truth)[0]), "q", 0.15)
         fitted = scorer.fit_second(y.where("not held_out"), CONTEXT)
@@ -147,8 +159,8 @@ def tune(spark: SparkSession, scores: str, s1: str, truth: str, output: str, mat
     q, (true, sizes) = _read(spark, s1), _truth(spark, truth)
     s = files.read_scores(spark, scores)
     decision.check(s, q)
-    ranked = _labelled(decision.with_ranks(s), true).cache()
-    rules = decision.grid(ranked, sizes.join(q.select(F.col("entity_id").alias("q")), "q", "left_semi")).cache()
+    ranked = kept(_labelled(decision.with_ranks(s), true))
+    rules = kept(decision.grid(ranked, sizes.join(q.select(F.col("entity_id").alias("q")), "q", "left_semi")))
     best = decision.best_rule(rules).first().asDict()
     files.write_json(spark, best, output)
     if sweep:
