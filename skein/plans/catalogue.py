@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import strings as S
 from ..functions import tables as T
-from ..operators import blocking, decision, dense, features, filtering, metrics, records, sampling, scorer, tfidf
+from ..operators import blocking, decision, dense, features, filtering, metrics, pairmodel, records, sampling, scorer, tfidf
 from ..operators.tables import kept
 from . import views as V
 
@@ -644,6 +644,13 @@ def pair_features(spark, d):
     return _featured(spark, d).drop("label")
 
 
+@query()
+def pair_model_logits(spark, d):
+    text = lambda x: F.concat_ws(" ", f"{x}_name", f"{x}_addr").alias(f"{x}_text")
+    pairs = kept(V.labelled(V.pairs(spark, d)).select("q", "p", text("a"), text("b"), "label"))
+    return pairmodel.with_logit(pairs, pairmodel.fit(pairs))
+
+
 # ---- filters, metrics, decisions
 
 _S, _T = f"WITH {V.SCORED}", f"WITH {V.TRUTH}"
