@@ -1,4 +1,4 @@
-"""String similarities that Spark has no function for, as one Arrow UDF each; all in 0..1, null where undefined.
+"""String similarities; all in 0..1, null where undefined. Those that Spark has no function for are one Arrow UDF each.
 
 Work repeats within a batch (a record is in many pairs), so results are kept by pair of strings for the length of a batch.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -118,32 +119,35 @@ def common_substring_of(a: str, b: str) -> float | None:
     return low / len(short)
 
 
-def abbreviation_of(a: str, b: str) -> float | None:
-    """Share of the shorter name's tokens that the other has, whole, as a beginning (either way) or as initials of tokens in a row."""
-    x, y = sorted((a.split(), b.split()), key=len)
-    if not x:
-        return None
-    initials = "".join(t[0] for t in y)
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda t: t != "")
+
+
+def _initials(toks: Column) -> Column:
+    return F.array_join(F.transform(toks, lambda t: F.substring(t, 1, 1)), "")
 
-    def met(t: str) -> bool:
-        if t in y:
-            return True
-        if len(t) < 2:
-            return False
-        return any(len(u) >= 2 and (u.startswith(t) or t.startswith(u)) for u in y) or (t.isalpha() and t in initials)
 
-    return sum(map(met, x)) / len(x)
+def abbreviation(a: Column, b: Column) -> Column:
+    """Share of the tokens of the name with fewer that the other has: whole, as a beginning of one of its tokens or the other way round
+    (two characters at least), or, if made of letters, as initials of tokens in a row. Null if a name has no token."""
+    x, y = _tokens(a), _tokens(b)
+    less, more = (F.when(F.size(x) <= F.size(y), one).otherwise(other) for one, other in ((x, y), (y, x)))
+    begins = lambda t, u: (F.length(u) >= 2) & (F.startswith(u, t) | F.startswith(t, u))
+    partly = lambda t: (F.length(t) >= 2) & (F.exists(more, lambda u: begins(t, u)) | (t.rlike(r"^\p{L}+$") & F.contains(_initials(more), t)))
+    met = F.filter(less, lambda t: F.array_contains(more, t) | partly(t))
+    return F.size(met) / F.nullif(F.size(less), F.lit(0))
 
 
-def initialism_of(a: str, b: str) -> float:
-    """1 if a side holds, or is, the other side's initials, with or without small words."""
-    x, y = a.split(), b.split()
+def initialism(a: Column, b: Column) -> Column:
+    """1 if either name has, as a token or as all its tokens put together, the initials of the other, with small words or without."""
+    x, y = _tokens(a), _tokens(b)
 
-    def initials(toks: list[str]) -> set[str]:
-        kept = [t for t in toks if t not in INITIALISM_STOP]
-        return {"".join(t[0] for t in ts) for ts in (toks, kept) if len(ts) >= 2}
+    def short_forms(toks: Column) -> Column:
+        long = F.filter(F.array(toks, F.filter(toks, lambda t: ~t.isin(*INITIALISM_STOP))), lambda ts: F.size(ts) >= 2)
+        return F.transform(long, _initials)
 
-    return float(bool(initials(y) & {*x, "".join(x)}) or bool(initials(x) & {*y, "".join(y)}))
+    named = lambda toks: F.concat(toks, F.array(F.array_join(toks, "")))
+    return (F.arrays_overlap(short_forms(y), named(x)) | F.arrays_overlap(short_forms(x), named(y))).cast("double")
 
 
 def _udf(f: Callable[[str, str], float | None]):
@@ -160,4 +164,4 @@ def _udf(f: Callable[[str, str], float | None]):
     return lambda a, b: F.nanvl(run(a, b), F.lit(None).cast("double"))
 
 
-jaro_winkler, token_sort, token_set, partial, common_substring, abbreviation, initialism = map(_udf, (jaro_winkler_of, token_sort_of, token_set_of, partial_of, common_substring_of, abbreviation_of, initialism_of))
+jaro_winkler, token_sort, token_set, partial, common_substring = map(_udf, (jaro_winkler_of, token_sort_of, token_set_of, partial_of, common_substring_of))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 
 def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
     """Grams within each white-space token with a blank on either side; a token no longer than n counts once, as a whole."""
@@ -96,7 +98,7 @@ def top_k(records: DataFrame, idf: DataFrame, text: str, k: int, top: int = 48,
     fitted = with_fallback(rows.select(F.col("part").alias("ckey")), idf).withColumnRenamed("ckey", "part")
     own = idf.withColumnRenamed("ckey", "fitted").join(F.broadcast(fitted), "fitted").select("part", "gram", "idf")
     row = ["part", "source", "entity_id"]
-    v = prune(vectors(counts, own, ["part"], row), row, top).select(*row, "gram", "w")
+    v = kept(prune(vectors(counts, own, ["part"], row), row, top).select(*row, "gram", "w"))  # read by the pool, its counts and the queries
     pool = v.where(F.col("source") != query_source)
     sizes = rows.where(F.col("source") != query_source).groupBy("part", "source").agg(F.count("*").alias("n"))
     pool = cap_postings(pool, sizes, ["part", "source"], fraction)

@@ -1,6 +1,7 @@
 """Operators against hand-made rows, slow versions and properties."""
 
 import math
+import random
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -66,8 +67,56 @@ def test_similarities():
 def test_similarity_literals():
     assert S.jaro_winkler_of("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert S.token_set_of("a b", "b a c") == 1.0 and S.token_set_of("", "") == 0.0 and S.partial_of("abc", "xxabcxx") == 1.0
-    assert S.abbreviation_of("intl tech", "international technologies") == 0.5 and S.abbreviation_of("ibm", "international business machines") == 1.0 and S.abbreviation_of("", "x") is None
-    assert S.initialism_of("ibm", "international business machines") == 1.0 and S.initialism_of("bofa", "bank of america") == 0.0
+
+
+
+def plain_abbreviation(a, b):
+    x, y = sorted((a.split(), b.split()), key=len)
+    firsts = "".join(t[0] for t in y)
+    hits = [t in y or len(t) > 1 and (any(len(u) > 1 and (u[: len(t)] == t or t[: len(u)] == u) for u in y) or t.isalpha() and t in firsts) for t in x]
+    return sum(hits) / len(x) if x else None
+
+
+def plain_initialism(a, b):
+    small = {"and", "of", "the", "for", "a", "an", "de", "des", "du", "la", "le", "et"}
+    for x, y in ((a.split(), b.split()), (b.split(), a.split())):
+        for toks in (y, [t for t in y if t not in small]):
+            if len(toks) > 1 and "".join(t[0] for t in toks) in [*x, "".join(x)]:
+                return 1.0
+    return 0.0
+
+
+def plain_token_set(a, b):
+    def ratio(x, y):
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, c in enumerate(x):
+            for j, e in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if c == e else max(table[i][j + 1], table[i + 1][j])
+        return 2 * table[-1][-1] / (len(x) + len(y)) if x or y else 1.0
+
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
+    if both and not (left and right):
+        return 1.0
+    s, l, r = " ".join(both), " ".join(both + left), " ".join(both + right)
+    return max([ratio(l, r)] + ([ratio(s, l), ratio(s, r)] if both else []))
+
+
+def test_similarities_equal_plain_versions(spark):
+    rng = random.Random(8)
+    some = ["ibm", "international", "business", "machines", "intl", "tech", "technologies", "bank", "of", "america", "boa", "the", "a", "x1", "x", "é", "ibmc", "bm"]
+    pairs = [(" ".join(rng.choices(some, k=rng.randint(0, 5))), " ".join(rng.choices(some, k=rng.randint(0, 5)))) for _ in range(400)]
+    pairs += [("ibm", "international business machines"), ("bofa", "bank of america"), ("boa", "bank of america"), ("intl tech", "international technologies"), ("", "x"), ("", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = df.select("i", S.abbreviation(a, b).alias("abbreviation"), S.initialism(a, b).alias("initialism"), S.token_set(a, b).alias("token_set")).orderBy("i").collect()
+    for r, (x, y) in zip(got, pairs):
+        want = plain_abbreviation(x, y)
+        assert (r.abbreviation is None) == (want is None) and (want is None or abs(r.abbreviation - want) < 1e-12), (x, y)
+        assert r.initialism == plain_initialism(x, y), (x, y)
+        assert r.token_set == pytest.approx(plain_token_set(x, y)), (x, y)
 
 
 def test_windows(spark):
