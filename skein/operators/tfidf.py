@@ -25,8 +25,10 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
 
 
 def gram_counts(records: DataFrame, text: str, keys: list[str], low: int = 2, high: int = 4) -> DataFrame:
-    """keys, gram, tf."""
-    return records.select(*keys, F.explode(char_ngrams(F.col(text), low, high)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
+    """keys, gram, tf. Records are dealt out by their keys before their grams are listed, so the count needs no shuffle of grams."""
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = records.select(*keys, text).repartition(n, *keys)
+    return dealt.select(*keys, F.explode(char_ngrams(F.col(text), low, high)).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("tf"))
 
 
 def fit_idf(counts: DataFrame, records: DataFrame, by: list[str], min_df: int = 2) -> DataFrame:
