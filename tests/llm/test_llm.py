@@ -601,3 +601,12 @@ def test_a_cluster_needs_a_shared_folder():
     sc = SimpleNamespace(master="spark://host:7077", environment={}, getConf=lambda: {}, getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+def test_packing_loses_a_few_sequences_a_shard():
+    """In descending order, what the sum of squares leaves over is a few sequences, at any number of pieces."""
+    rng = np.random.default_rng(6)
+    for n in (2000, 10_000):
+        lengths = np.sort(np.clip((rng.lognormal(6.2, 1, n)).astype(int), 1, 4095))[::-1]
+        bins, offsets = packing.place(lengths, 4096)
+        assert np.bincount(bins, lengths).max() <= 4096 and bins.max() + 1 - lengths.sum() / 4096 <= 4
