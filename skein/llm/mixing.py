@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, checkpoint, numbered, running_sums
+from .common import WORD_RE, checkpoint, numbered, portions, running_sums
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
@@ -73,7 +73,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def copies(batches):
-        for b in batches:
+        for b in portions(batches, at, 2 << 20):  # a text may come three times over
             rows, texts = [], []
             for i, (text, size, taken) in enumerate(zip(*(b.column(c).to_pylist() for c in (at, len(names), len(names) + 1)))):
                 rows += [i] * (taken // size)

@@ -182,14 +182,15 @@ def near_copies(docs: DataFrame, size: int = 4, seed: int = 42, reach: int = REA
 
 
 def one_of_each(docs: DataFrame, broadcast_up_to: int = 1_000_000, **how) -> DataFrame:
-    """docs with one row of each group of near-copies, by rows and not by ids, which may be null or repeat; the groups are those of
-    near_copies, by 4-word shingles and at most `reach` bits.
+    """docs with one row of each group of near-copies: that with the smallest doc_id (null last), of several the first. Rows are told apart by
+    numbers, as ids may be null or repeat; the groups are those of near_copies, by 4-word shingles and at most `reach` bits.
 
     The numbers of the other rows are broadcast only if they are no more than broadcast_up_to (8 MB); beyond that they are joined by shuffle.
     """
     rows = numbered(docs)
-    found = near_copies(rows.select(F.col("__row").alias("doc_id"), "text"), **how)
-    gone = checkpoint(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__row")))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")  # its order is that in which rows stay
+    found = near_copies(rows.select(own.alias("doc_id"), "text"), **how)
+    gone = checkpoint(found.where(F.col("doc_id.__row") != F.col("component_id.__row")).select("doc_id.__row"))
     if gone.count() <= broadcast_up_to:
         gone = F.broadcast(gone)
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
