@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,6 +69,19 @@ def match_histogram(truth: DataFrame, most: int = 8) -> DataFrame:
     return truth.groupBy(F.least("n_true", F.lit(most)).alias("matches")).agg(F.count("*").alias("entities"))
 
 
+def four_places(c: Column) -> Column:
+    """c with four places as C's printf and DuckDB's write it: by the exact value of the double, a tie to the even digit. Java's formatter
+    rounds the shortest decimal that stands for the double, and ties up."""
+    size = F.abs(c)
+    low = F.floor(size * 10_000)
+    big = size * 134_217_729.0  # the double in two halves, so that their products with 20,000 are exact
+    high = big - (big - size)
+    over = (high * 20_000.0 - (2 * low + 1).cast("double")) + (size - high) * 20_000.0  # its sign tells on which side of the middle c is
+    whole = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+    digits = F.concat(F.when(c < 0, "-").otherwise(""), F.floor(whole / 10_000).cast("string"), F.lit("."), F.lpad((whole % 10_000).cast("string"), 4, "0"))
+    return F.when(size < 1e8, digits).otherwise(F.format_string("%.4f", c))
+
+
 def filtered_lists(queries: DataFrame, kept: DataFrame) -> DataFrame:
     """A row for each query: ids and scores of pairs with keep, best first; best score of all its pairs; 1 if nothing is kept.
 
@@ -78,8 +91,8 @@ def filtered_lists(queries: DataFrame, kept: DataFrame) -> DataFrame:
     d = queries.select(F.col("entity_id").alias("source1_entity_id")).join(lists, F.col("source1_entity_id") == F.col("q"), "left")
     d = d.withColumn("x", F.coalesce("x", F.array().cast("array<struct<rk:int,p:string,score:double>>")))
     return d.select(
-        "source1_entity_id", F.array_join(F.transform("x", lambda e: e["p"]), ",").alias("candidate_entity_ids"), F.array_join(F.transform("x", lambda e: F.format_string("%.4f", e["score"])), ",").alias("candidate_scores"),
-        F.format_string("%.4f", F.coalesce("best", F.lit(0.0))).alias("best_score"), (F.size("x") == 0).cast("int").alias("likely_no_match"),
+        "source1_entity_id", F.array_join(F.transform("x", lambda e: e["p"]), ",").alias("candidate_entity_ids"), F.array_join(F.transform("x", lambda e: four_places(e["score"])), ",").alias("candidate_scores"),
+        four_places(F.coalesce("best", F.lit(0.0))).alias("best_score"), (F.size("x") == 0).cast("int").alias("likely_no_match"),
     )
 
 
