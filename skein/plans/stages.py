@@ -83,22 +83,14 @@ def featurize(spark: SparkSession, s1: list[str], s2: str, s3: str, idf: str, de
     pairs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [files.read_detail(spark, p) for p in details])
     pairs = kept(pairs)
     parts = kept(records.with_address_parts(raw).select("entity_id", "comps"))
-    vectors = {}
-    for text in FIELDS.values():
+    of = {}
+    for text in FIELDS.values():  # a record is needed under the weights of its own country and under those of its partners' countries
         own = files.read_idf(spark, idf, text)
         used = tfidf.with_fallback(r.select("ckey"), own)
-        counts = tfidf.gram_counts(r, text, ["entity_id"])
-        # a record is needed under the weights of its own country and under those of its partners' countries
-        country = r.select("entity_id", "ckey")
-        asked = pairs.join(country.select(F.col("entity_id").alias("q"), F.col("ckey").alias("part")), "q").select("part", F.explode(F.array("q", "p")).alias("entity_id"))
-        asked = asked.unionByName(country.select(F.col("ckey").alias("part"), "entity_id")).distinct()
-        tops = pairs.join(country.select(F.col("entity_id").alias("p"), F.col("ckey").alias("part")), "p").select("part", "q", "p")
-        mates = tops.select("part", "q").distinct().join(pairs.select("q", F.col("p").alias("entity_id")), "q").select("part", "entity_id")
-        asked = asked.unionByName(mates).distinct()
         w = own.withColumnRenamed("ckey", "fitted").join(F.broadcast(used), "fitted").select(F.col("ckey").alias("part"), "gram", "idf")
-        vectors[text] = kept(tfidf.vectors(counts.join(kept(asked), "entity_id"), w, ["part"], ["part", "entity_id"]).select("part", "entity_id", "gram", "w"))
+        of[text] = r.select("entity_id", F.col(text).alias("text")), kept(w)
     e = files.embeddings_if_complete(spark, embeddings, r)
-    return features.build(pairs, r.select("entity_id", "ckey", "name", "addr").join(parts, "entity_id"), vectors["sparse_text"], vectors["name_text"], e)
+    return features.build(pairs, r.select("entity_id", "ckey", "name", "addr").join(parts, "entity_id"), of["sparse_text"], of["name_text"], e)
 
 
 def train(spark: SparkSession, feats: DataFrame, truth: str, model: str, filtered: str | None = None, queries: DataFrame | None = None, columns: list[str] | None = None, top_k: int = 10, floor: float = 0.01, no_match: float = 0.01, folds: int = 5, ablation: bool = False, **how) -> dict:

@@ -102,3 +102,20 @@ def test_text_cosine_equals_joins(spark, records, monkeypatch, size):
     got = tfidf.text_cosine(pairs, "q", "p", texts, "t", idf.select(F.col("ckey").alias("part"), "gram", "idf"), "cos")
     want = tfidf.pair_cosine(pairs, "q", "p", v, "cos").select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_learned_scores_read_the_features_that_they_need(spark, talk, monkeypatch):
+    """The addresses' window comparison is no feature of the scorers, and was computed for each of their pairs."""
+    from skein.functions import strings
+    from skein.plans import catalogue
+
+    def never(*_):
+        raise AssertionError("not wanted")
+
+    monkeypatch.setattr(strings, "partials", never)
+    build, asked = catalogue.features.build, []
+    monkeypatch.setattr(catalogue.features, "build", lambda *a: asked.append(a) or build(*a))
+    d = catalogue._featured(spark, talk[0], catalogue._SOME)
+    assert set(d.columns) == {"q", "p", "label", *catalogue._SOME} and d.where("full_tfidf_cos > 0").count() > 0
+    plan = build(*asked[0])._jdf.queryExecution().analyzed().toString()
+    assert "addr_partial" not in plan
