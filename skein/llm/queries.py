@@ -68,7 +68,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = rules.measured(table(spark, sf_dir, "documents"))
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"))).drop("anomaly")
 
 

@@ -1,24 +1,28 @@
 """Quality rules with an isolation forest (operator 10).
 
 Statistics of each whole text feed two plain rules (too few words, too many repeated ones) and an isolation forest: trees of random splits,
-grown on about `sample` documents of all, chosen by hash, in which odd documents end on short paths. The forest sees by how much a share
-exceeds what is usual among good rows (on raw shares it found 2 % of the bad rows that pass the plain rules, in place of all). Above which
-anomaly score a document goes is calibrated on at most `limit` labelled rows: the threshold with the best balanced accuracy among those that
-keep `keep` of the good rows (or all but one).
+in which odd documents end on short paths. As that method has it, a tree is grown on `size` documents; they are drawn from all documents that
+pass the plain rules, and no document is in two trees while there are enough. The forest sees by how much a share exceeds what is usual among
+good rows (on raw shares it found 2 % of the bad rows that pass the plain rules, in place of all). What is usual, and above which anomaly
+score a document goes, come from all labelled rows, exactly: the threshold has the best balanced accuracy among those that keep `keep` of
+the good rows (or all but one). Only values beyond such quantiles reach the driver: 0.2 % of the good rows' scores, 0.025 % of a share.
 
 Edge cases: a null text has no words, hence fails the base rules, as an empty one does; without labels of both classes the threshold is
-the score that `keep` of the sample stays under. Rows that share a doc_id each get a row. Other columns are ignored, except that
-`keep_good` returns them as they are.
+the score that `keep` of the labelled rows stay under. Rows that share a doc_id each get a row, and of their texts one counts for the label.
+Other columns are ignored, except that `keep_good` returns them as they are.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, labelled_texts, slices
+from .common import checkpoint, importable, slices, stored
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 _UPPER, _DIGITS, _ENDS = (bytes(range(65, 91)), b"0123456789", b".,:;!?")
@@ -74,10 +78,11 @@ def inputs(stats: np.ndarray, usual: np.ndarray) -> np.ndarray:
 class Forest:
     """score(x) in 0..1 for each row of x: the higher, the shorter its paths."""
 
-    def __init__(self, x: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 0):
+    def __init__(self, x: np.ndarray, trees: int = 128, size: int = 256, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.size = max(2, min(sample, len(x)))
-        self.trees = [self._grow(x[rng.permutation(len(x))[: self.size]], rng) for _ in range(trees)] if len(x) else []
+        self.size = max(2, min(size, len(x)))
+        order = rng.permutation(len(x))  # dealt out in turn; rows serve again only where there are fewer than the trees take
+        self.trees = [self._grow(x[order.take(range(t * self.size, (t + 1) * self.size), mode="wrap")], rng) for t in range(trees)] if len(x) else []
 
     @staticmethod
     def _usual(n: np.ndarray) -> np.ndarray:
@@ -119,18 +124,6 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / float(self._usual(self.size)))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, keep: float) -> float:
-    """The threshold (documents above it go) with the best balanced accuracy of those that keep at least `keep` of the good rows."""
-    if not good.any() or good.all():
-        return float(np.quantile(score, keep)) if len(score) else 1.0
-    order = np.sort(np.unique(score))
-    cuts = np.append((order[:-1] + order[1:]) / 2, order[-1])
-    g, b = np.sort(score[good]), np.sort(score[~good])
-    kept = np.searchsorted(g, cuts, "right") / len(g)
-    gone = 1 - np.searchsorted(b, cuts, "right") / len(b)
-    return float(cuts[np.argmax(np.where(kept >= min(keep, 1 - 1.5 / len(g)), kept + gone, -1))])
-
-
 class Model:
     def __init__(self, forest: Forest, usual: np.ndarray, threshold: float):
         self.forest, self.usual, self.threshold = forest, usual, threshold
@@ -143,15 +136,6 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def train(all_stats: np.ndarray, stats: np.ndarray, good: np.ndarray, keep: float = 0.998) -> Model:
-    """The forest from all_stats, what is usual and the threshold from stats, of which good ones are marked."""
-    if not len(stats):
-        return Model(Forest(np.zeros((0, 8))), np.zeros(8), 1.0)
-    usual = np.quantile(shares(stats[good] if good.any() else stats), 1 - (1 - keep) / 8, axis=0)  # all eight together exceed about as often as may go
-    forest = Forest(inputs(all_stats if len(all_stats) else stats, usual))
-    return Model(forest, usual, calibrate(forest.score(inputs(stats, usual)), good, keep))
-
-
 def _statistics_of(texts: DataFrame, keep: list[str]) -> DataFrame:
     """keep and stats of (keep..., text)."""
 
@@ -164,37 +148,141 @@ def _statistics_of(texts: DataFrame, keep: list[str]) -> DataFrame:
     return texts.select(*keep, "text").mapInArrow(count, f"{kinds}, stats array<long>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", take=None, limit: int = 20_000, keep: float = 0.998, sample: int = 20_000) -> Model:
-    """Grows the forest on about `sample` of all documents and calibrates it on the labels of at most `limit`."""
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, stats) of every row, written once: what fit and judge take in place of texts. mark: a hash of the row."""
     importable(docs.sparkSession)
-    known = labelled_texts(docs, labels, label, F.lit(True) if take is None else take, limit)
-    got = sorted(_statistics_of(known, ["doc_id", "y"]).collect(), key=lambda r: r["doc_id"])
-    stats, good = np.array([r["stats"] for r in got], np.int64).reshape(-1, 11), np.array([r["y"] > 0 for r in got], bool)
-    each = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count())))  # of n documents, those with less than `sample` of n
-    some = _statistics_of(docs.select(each.alias("mark"), "text").where(F.col("mark") < sample), ["mark"])
-    rows = some.orderBy("mark", "stats").limit(2 * sample).collect()  # short rows
-    all_stats = np.array([r["stats"] for r in rows], np.int64).reshape(-1, 11)
-    passed = lambda s: ~base_failed(s[:, 0], s[:, 4])  # noqa: E731  the base rules deal with the rest
-    return train(all_stats[passed(all_stats)], stats[passed(stats)], good[passed(stats)], keep)
+    return stored(_statistics_of(docs.withColumn("mark", F.xxhash64("doc_id", "text")), ["doc_id", "mark"]), "statistics")
+
+
+def _passed(stats: str) -> Column:
+    return ~base_failed(F.col(stats)[0], F.col(stats)[4])
+
+
+def _stats(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 11)
+
+
+def _columns(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in b.columns]
+
+
+def _reduced(df: DataFrame, part: Callable, merge: Callable, none):
+    """merge over part(an Arrow batch of df) of all batches; what part returns stays small. none: of no rows."""
+
+    def run(batches):
+        found = none
+        for b in batches:
+            found = merge(found, part(b))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(found)])], names=["found"])
+
+    n = df.sparkSession.sparkContext.defaultParallelism
+    found = df.mapInArrow(run, "found binary").rdd.map(lambda r: pickle.loads(r[0]))
+    return merge(none, found.treeReduce(merge, 2 if found.getNumPartitions() <= 8 * n else 3)) if found.getNumPartitions() else none
+
+
+def _greatest(df: DataFrame, m: int) -> np.ndarray:
+    """The m greatest values of each column of df, in ascending order, a row for each column; NaN stands before them if there are fewer."""
+    none = np.full((len(df.columns), m), np.nan)
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.sort(np.where(np.isnan(x := np.concatenate([a, b], axis=1)), -np.inf, x), axis=1)[:, -m:]
+        return np.where(np.isinf(both), np.nan, both)
+
+    return _reduced(df, lambda b: np.stack(_columns(b)), merge, none)
+
+
+def quantiles(df: DataFrame, n: int, q: float) -> np.ndarray:
+    """np.quantile of each column of df, of n finite values each; made for q close to 1: the values above it come to the driver."""
+    at = (n - 1) * q
+    low = int(np.floor(at))
+    top = _greatest(df, n - low)
+    below, above = top[:, 0], top[:, min(1, n - low - 1)]
+    return below + (above - below) * (at - low)
+
+
+def calibrate(scored: DataFrame, keep: float) -> float:
+    """The threshold (documents above it go) with the best balanced accuracy of those that keep at least `keep` of the good rows, or all but
+    one; the lowest of equal ones. scored: score, good.
+
+    Only a cut right above a good row can be best, as on the way up to the next one bad rows alone pass; and of the good rows only the
+    greatest can have one, as `keep` of them must stay under it.
+    """
+    n = {r["good"]: r["count"] for r in scored.groupBy("good").count().collect()}
+    n_good, n_bad = n.get(True, 0), n.get(False, 0)
+    if not n_good or not n_bad:
+        return float(quantiles(scored.select("score"), n_good + n_bad, keep)[0]) if n_good + n_bad else 1.0
+    least = min(keep, 1 - 1.5 / n_good)
+    top = _greatest(scored.where("good").select("score"), min(n_good, int(n_good * (1 - least)) + 2))[0]
+    at = np.unique(top)
+    good_above = len(top) - np.searchsorted(top, at, "right")
+
+    def part(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        score = _columns(b)[0]
+        place = np.searchsorted(at, score, "left")  # of at, so many are smaller
+        low = np.full(len(at) + 1, np.inf)
+        np.minimum.at(low, place, score)
+        return np.bincount(place, minlength=len(at) + 1), low
+
+    none = (np.zeros(len(at) + 1, np.int64), np.full(len(at) + 1, np.inf))
+    count, low = _reduced(scored.where("not good").select("score"), part, lambda a, b: (a[0] + b[0], np.minimum(a[1], b[1])), none)
+    bad_above = np.cumsum(count[::-1])[::-1][1:]  # a bad row at the same score stays, too
+    following = np.minimum(np.append(at[1:], np.inf), np.minimum.accumulate(low[::-1])[::-1][1:])
+    cuts = np.where(np.isinf(following), at, (at + following) / 2)
+    kept = (n_good - good_above) / n_good
+    return float(cuts[np.argmax(np.where(kept >= least, kept + bad_above / n_bad, -1))])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", take=None, keep: float = 0.998, trees: int = 128, size: int = 256) -> Model:
+    """The model of docs (texts, or what measured() made of them): usual shares and threshold from all rows of labels for which take holds."""
+    docs = docs if "stats" in docs.columns else measured(docs)
+    y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (F.lit(True) if take is None else take))
+    y = y.groupBy("doc_id").agg((F.max(F.col(label).cast("int")) > 0).alias("good"))
+    known = docs.join(y, "doc_id").groupBy("doc_id").agg(F.min_by("stats", F.struct("mark", "stats")).alias("stats"), F.first("good").alias("good"))
+    known = checkpoint(known.where(_passed("stats")).select("stats", "good"))  # the base rules deal with the rest
+    n = {r["good"]: r["count"] for r in known.groupBy("good").count().collect()}
+    if not n:
+        return Model(Forest(np.zeros((0, 8))), np.zeros(8), 1.0)
+
+    def shared(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in shares(_stats(b.column(0))).T], names=[f"s{i}" for i in range(8)])
+
+    good = known.where("good") if True in n else known
+    each = good.select("stats").mapInArrow(shared, ", ".join(f"s{i} double" for i in range(8)))
+    usual = quantiles(each, n.get(True, 0) or n[False], 1 - (1 - keep) / 8)  # all eight together exceed about as often as may go
+
+    passing = docs.where(_passed("stats"))
+    mark = F.pmod("mark", F.lit(max(1, passing.count())))  # of n documents, those with less than m are some m
+    drawn = passing.where(mark < trees * size).select(mark.alias("mark"), "stats").orderBy("mark", "stats").limit(2 * trees * size).collect()  # short rows
+    forest = Forest(inputs(np.array([r["stats"] for r in drawn] or [r["stats"] for r in known.limit(size).collect()], np.int64), usual), trees, size)
+    model = Model(forest, usual, 1.0)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches):
+        for b in slices(batches, 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(held.value.score(_stats(b.column(0)))), b.column(1)], names=["score", "good"])
+
+    model.threshold = calibrate(checkpoint(known.mapInArrow(score, "score double, good boolean")), keep)
+    return model
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, BASE..., base_failed, anomaly, kept) of every row."""
+    """(doc_id, BASE..., base_failed, anomaly, kept) of every row of docs (texts, or what measured() made of them)."""
+    importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                stats = np.array([statistics(t) for t in part.column(1).to_pylist()], np.int64).reshape(-1, 11)
-                odd = m.score(stats)
-                failed = base_failed(stats[:, 0], stats[:, 4])
-                cols = [pa.array(stats[:, i]) for i in range(5)] + [pa.array(failed), pa.array(odd), pa.array(~failed & (odd <= m.threshold))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", *BASE, "base_failed", "anomaly", "kept"])
+        for part in slices(batches, 1024):
+            stats = _stats(part.column(1))
+            odd = m.score(stats)
+            failed = base_failed(stats[:, 0], stats[:, 4])
+            cols = [pa.array(np.ascontiguousarray(stats[:, i])) for i in range(5)] + [pa.array(failed), pa.array(odd), pa.array(~failed & (odd <= m.threshold))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", *BASE, "base_failed", "anomaly", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, anomaly double, kept boolean")
+    found = docs.select("doc_id", "stats") if "stats" in docs.columns else _statistics_of(docs, ["doc_id"])
+    return found.mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in BASE)}, base_failed boolean, anomaly double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:

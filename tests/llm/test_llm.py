@@ -516,6 +516,39 @@ def test_rules_separate_labels(spark):
     assert m[m.quality == 1].kept.mean() > 0.99 and m[m.quality == 0].kept.mean() < 0.1
 
 
+def plain_threshold(score, good, keep):
+    if not good.any() or good.all():
+        return np.quantile(score, keep)
+    order = np.unique(score)
+    cuts = np.append((order[:-1] + order[1:]) / 2, order[-1])
+    kept = np.array([(score[good] <= c).mean() for c in cuts])
+    gone = np.array([(score[~good] > c).mean() for c in cuts])
+    return cuts[np.argmax(np.where(kept >= min(keep, 1 - 1.5 / good.sum()), kept + gone, -1))]
+
+
+@pytest.mark.parametrize("n,share,keep", [(900, 0.9, 0.998), (900, 0.5, 0.9), (900, 1.0, 0.998), (900, 0.0, 0.95), (2, 0.5, 0.998), (9, 0.2, 0.998), (1, 1.0, 0.998)])
+def test_rules_threshold_of_all_rows(spark, n, share, keep):
+    rng = np.random.default_rng(n)
+    good = np.arange(n) < round(n * share)
+    score = np.round(rng.normal(np.where(good, 0.4, 0.6), 0.1), 2)  # ties, too
+    df = spark.createDataFrame(pd.DataFrame({"score": score, "good": good})).repartition(5)
+    assert rules.calibrate(df, keep) == pytest.approx(plain_threshold(score, good, keep), abs=1e-12)
+    assert rules.quantiles(df.select("score", (-F.col("score")).alias("x")), n, keep) == pytest.approx([np.quantile(score, keep), np.quantile(-score, keep)], abs=1e-12)
+
+
+def test_rules_learn_from_all_labels(spark):
+    """Over 20,000 labelled rows: what is usual and the threshold are those of all of them, not of a part."""
+    n = 24_000
+    rng = np.random.default_rng(4)
+    stats = np.stack([rng.integers(60, 500, n), rng.integers(300, 3000, n), rng.integers(0, 9, n), *np.zeros((2, n), int), rng.integers(1, 9, n), rng.integers(40, 60, n), *rng.integers(0, 30, (4, n))], axis=1)
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "mark": rng.integers(-(1 << 62), 1 << 62, n), "stats": stats.tolist()}), "doc_id long, mark long, stats array<long>")
+    good = np.arange(n) % 3 > 0
+    model = rules.fit(docs, spark.createDataFrame(pd.DataFrame({"doc_id": np.arange(n), "quality": good.astype(int)})))
+    assert model.usual == pytest.approx(np.quantile(rules.shares(stats[good]), 1 - 0.002 / 8, axis=0), abs=1e-12)
+    assert model.threshold == pytest.approx(plain_threshold(model.score(stats), good, 0.998), abs=1e-12)
+    assert len(model.forest.trees) == 128 and model.forest.size == 256
+
+
 def test_rules_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1)], "doc_id long, quality int")
     model = rules.fit(odd, labels)
