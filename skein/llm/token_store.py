@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, drop_path, portions, running_sums, scratch
-from .tokens import word_cache
+from .tokens import listed, word_cache
 
 WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 2048, 8
 PAGE = 4096
+#: Words whose ids a Python worker keeps, some 100 MB: with 600,000, half of the words that were met before had been forgotten.
+WORDS = 1_500_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -105,12 +107,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
     def encode(batches):
         from pyspark import TaskContext
 
-        words, met = word_cache(tokenizer, kind), set()
+        words, met = word_cache(tokenizer, kind, WORDS), set()
         number = TaskContext.get().partitionId() << 40
         end = np.array([end_id], "<u4").tobytes()
         for b in portions(batches, 1):
             roots, chunks, firsts, digests, fresh, payloads, n_fresh = [], [0], [], [], [], [], [0]
-            encoded = [x + end for x in words.ids(b.column(1).to_pylist())]
+            encoded = [x + end for x in words.ids(listed(b.column(1)))]
             sizes = [len(x) // 4 for x in encoded]
             raw = b"".join(encoded)
             ids = np.frombuffer(raw, "<u4")
@@ -189,7 +191,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def check(batches):
         for b in batches:
-            digests, payloads = b.column("digest").to_pylist(), b.column("payload").to_pylist()
+            digests, payloads = listed(b.column("digest")), listed(b.column("payload"))
             raws = [_unpack(p).tobytes() for p in payloads]
             if any(_digest(r) != d for r, d in zip(raws, digests)):
                 raise ValueError(f"{path}: a chunk does not match its digest")
@@ -278,9 +280,9 @@ def digests_of_documents(spark: SparkSession, path: str) -> DataFrame:
             counts, flat = np.diff(parts.offsets.to_numpy()), parts.flatten()
             pos, n, crc = (flat.field(c).to_numpy() for c in ("pos", "n", "crc"))
             order = np.lexsort((pos, np.repeat(np.arange(len(counts)), counts)))
-            digests = flat.field("digest").take(pa.array(order)).to_pylist()
+            digests = listed(flat.field("digest").take(pa.array(order)))
             ends = np.cumsum(counts).tolist()
-            for end, size, root in zip(ends, counts.tolist(), b.column("root").to_pylist()):
+            for end, size, root in zip(ends, counts.tolist(), listed(b.column("root"))):
                 if merkle(digests[end - size : end]) != root:
                     raise ValueError(f"{path}: a document does not match its root")
             sizes = np.add.reduceat(n[order], np.array(ends) - counts) if len(counts) else np.zeros(0, np.int64)

@@ -11,6 +11,7 @@ import pytest
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from skein.llm import components, line_dedup, mixing, neighbours, packing, pii, quality, queries, rules, simhash, token_store, toxicity
 from skein.llm.common import running_sums, scratch
@@ -65,6 +66,28 @@ def test_word_cache_equals_library(path, kind, plain):
         assert [np.frombuffer(x, "<u4").tolist() for x in cache.ids(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_word_cache_finds_words_by_hash(monkeypatch):
+    """Also where words share a hash, and after half of them were forgotten; what is known is not merged again, with 100,000 words either."""
+    from skein.llm import token_store, tokens
+
+    assert token_store.WORDS >= 1_500_000
+    texts = [" ".join(f"{a}{b}{c}" for b in "bcdfgh" for c in "klmnp") + f" {a}." for a in "xyzuvw"]
+    want = [Tokenizer.from_file(BYTE).encode(t, add_special_tokens=False).ids for t in texts]
+    exact = tokens._hashes
+    for of in (exact, lambda words: exact(words) % 7):
+        monkeypatch.setattr(tokens, "_hashes", of)
+        for limit in (40, 10_000):
+            cache = WordCache(BYTE, "byte", limit=limit)
+            assert [np.frombuffer(cache.ids([t])[0], "<u4").tolist() for t in texts * 2] == want * 2
+            assert (np.diff(cache._hashes) >= 0).all() and sorted(cache._place) == list(range(len(cache._words)))
+    monkeypatch.setattr(tokens, "_hashes", exact)
+    cache = WordCache(BYTE, "byte")
+    many = [" ".join("".join("abcdefghij"[int(d)] for d in f"{i:05}") for i in range(100_000))]
+    first = cache.ids(many)
+    monkeypatch.setattr(cache, "_merged", None)
+    assert cache.ids(many) == first
+
+
 # ---- running sums
 
 
