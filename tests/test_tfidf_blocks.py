@@ -119,3 +119,22 @@ def test_learned_scores_read_the_features_that_they_need(spark, talk, monkeypatc
     assert set(d.columns) == {"q", "p", "label", *catalogue._SOME} and d.where("full_tfidf_cos > 0").count() > 0
     plan = build(*asked[0])._jdf.queryExecution().analyzed().toString()
     assert "addr_partial" not in plan
+
+
+def test_only_texts_that_share_a_key_travel(spark, records):
+    row = ["source", "ckey", "entity_id"]
+    records = tfidf.kept(records.unionByName(records.where("source = 'S3'").withColumns({"entity_id": F.lit(None).cast("string"), "ckey": F.lit("")})))
+    want = records.groupBy(*row).agg(F.sort_array(F.split(F.concat_ws(" ", F.collect_list("t")), " ")).alias("w"))
+    got = tfidf._whole(records, "t", row).select(*row, F.sort_array(F.split("t", " ")).alias("w"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() < records.count()
+    single = tfidf.kept(records.dropDuplicates(row))
+    assert "Exchange" not in tfidf._whole(single, "t", row)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_of_a_block_is_a_row_for_each_query(spark, records, monkeypatch):
+    seen, nearest = [], tfidf._met
+    monkeypatch.setattr(tfidf, "_met", lambda *a: seen.append(nearest(*a)) or seen[-1])
+    idf = tfidf.idf_of_texts(records, "t", "ckey", ["source", "ckey", "entity_id"])
+    got = tfidf.top_k(records, idf, "t", 4, 12, 1.0)
+    hits = seen[-1]
+    assert hits.count() == got.select("q", "source", "part").distinct().count() < got.count()
